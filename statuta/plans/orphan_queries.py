@@ -20,10 +20,10 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOUND = """
 WITH refs AS (
-  SELECT 'units' AS src_table, 'parent_id' AS src_field, unit_id AS record_id, parent_id AS target_key, 'unit' AS space, ingested_at AS at FROM units
+  SELECT 'units' AS src_table, 'parent_id' AS src_field, unit_id AS record_id, parent_id AS target_key, 'unit' AS space, ingested_at AS seen_at FROM units
   UNION ALL SELECT 'ref_mentions', 'target_id', mention_id, resolution.target_id, coalesce(resolution.target_type, 'unit'), ingested_at FROM ref_mentions
   UNION ALL SELECT 'ref_mentions', 'source_unit_id', mention_id, source_unit_id, 'unit', ingested_at FROM ref_mentions),
-firsts AS (SELECT src_table, src_field, record_id, min(at) AS first_at FROM refs GROUP BY ALL),
+firsts AS (SELECT src_table, src_field, record_id, min(seen_at) AS first_at FROM refs GROUP BY ALL),
 wanted AS (
   SELECT DISTINCT r.src_table, r.src_field, r.record_id, r.target_key, r.space, f.first_at
   FROM refs r JOIN firsts f USING (src_table, src_field, record_id) WHERE r.target_key <> ''),
