@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from statuta.llm import ranking, sentences
+from statuta.llm import encoding, ranking, scripts, sentences
 from statuta.session import table
 
 
@@ -26,6 +27,38 @@ def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_all(ranking.percentiles(_scored(spark, sf_dir)))
 
 
+_TEXTS = (("units", "unit_id", "content"), ("sentences", "sentence_id", "text"))
+
+
+def _pair_model(spark: SparkSession, sf_dir: str) -> encoding.Model:
+    texts = [table(spark, sf_dir, name).select(F.col(text).alias("value")) for name, _, text in _TEXTS]
+    return encoding.Model.of(encoding.pair_counts(texts[0].unionByName(texts[1])))
+
+
+def _examined(spark: SparkSession, sf_dir: str, examine, **options) -> DataFrame:
+    model = _pair_model(spark, sf_dir)
+    units, stored = [examine(table(spark, sf_dir, name), name, record, text, model, **options) for name, record, text in _TEXTS]
+    return encoding.once(units.unionByName(stored))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _examined(spark, sf_dir, encoding.examine, find_only=True).select("src", "record_id")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled records, whether nothing was lost, and their text as far as it could be restored."""
+    return _examined(spark, sf_dir, encoding.examine)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _examined(spark, sf_dir, scripts.examine).select("src", "record_id")
+
+
+def p4_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record in the one form, garbled ones restored first."""
+    return _examined(spark, sf_dir, scripts.examine, everything=True)
+
+
 _P2 = """
 WITH raw AS (
   SELECT DISTINCT question_id, passage_id, score_components AS c FROM retrieval_results WHERE question_id IS NOT NULL AND passage_id IS NOT NULL),
@@ -48,7 +81,15 @@ f AS (
   FROM k)
 """
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_ranking": p2_ranking}
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_ranking": p2_ranking,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_normalized": p4_normalized,
+}
 
 SQL = {
     "p2_found": _P2 + "SELECT question_id, fused_rank, passage_id FROM f WHERE fused_rank <= 3",
