@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import encoding, ranking, scripts, sentences
+from statuta.llm import encoding, mixing, ranking, repetition, scripts, sentences, tokens
 from statuta.session import table
 
 
@@ -59,6 +59,37 @@ def p4_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _examined(spark, sf_dir, scripts.examine, everything=True)
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_table(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = tokens.count_table(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
+    return mixing.mix(counted, table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached, per target source."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def p7_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).where(F.col("repeated_share") >= repetition.LEAST_SHARE).select("doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repeated_share(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.divergence(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 _P2 = """
 WITH raw AS (
   SELECT DISTINCT question_id, passage_id, score_components AS c FROM retrieval_results WHERE question_id IS NOT NULL AND passage_id IS NOT NULL),
@@ -89,6 +120,12 @@ QUERIES = {
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_normalized": p4_normalized,
+    "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_drawn": p7_drawn,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+    "p8_divergence": p8_divergence,
 }
 
 SQL = {
