@@ -299,10 +299,10 @@ def _undo_utf8(piece: str, model: Model, depth: int = 3) -> tuple[str, float]:
     return best, gained
 
 
-def restore_piece(piece: str, model: Model, undone: float = 0.0) -> tuple[str, float]:
+def restore_piece(piece: str, model: Model, undone: float = 0.0, used: set | None = None) -> tuple[str, float]:
     """The most probable inverse mapping of an improbable run, and the bits gained. A
     mapping between single-byte encodings must gain more than ``undone``, the bits gained
-    by undoing disguises."""
+    by undoing disguises. ``used`` collects the mappings between other encodings."""
     if piece.isascii():
         return piece, 0.0
     best, gained = _undo_utf8(piece, model)
@@ -314,7 +314,7 @@ def restore_piece(piece: str, model: Model, undone: float = 0.0) -> tuple[str, f
         gained = sum(g for _, g in fixed)
         if gained:
             return "".join(w for w, _ in fixed), gained
-    here, tried = _bits(model, piece)[0], {piece}
+    here, tried, way = _bits(model, piece)[0], {piece}, None
     for wrong, right in _OTHERS:
         out = _inverse(piece, wrong, right)
         if out is None or out in tried or "�" in out:
@@ -322,7 +322,9 @@ def restore_piece(piece: str, model: Model, undone: float = 0.0) -> tuple[str, f
         tried.add(out)
         bits, mean = _bits(model, out)
         if bits - here > max(gained, GAIN_BITS + max(undone, 0.0)) and mean >= MEAN_BITS:
-            best, gained = out, bits - here
+            best, gained, way = out, bits - here, (wrong, right)
+    if way and used is not None:
+        used.add(way)
     if not gained and undone <= 0 and len(words) > 1:  # words damaged in several ways
         fixed = [(w, 0.0) if w.isascii() else _undo_letters(w, model) for w in words]
         if sum(g for _, g in fixed) > GAIN_BITS:
@@ -330,6 +332,18 @@ def restore_piece(piece: str, model: Model, undone: float = 0.0) -> tuple[str, f
     return best, gained
 
 
+def _follow(word: str, model: Model, used: set[tuple[str, str]]) -> str:
+    """A word too short for a run of its own, by the mappings that restored its record."""
+    if word.isascii() or model.text_scores(word).min() > -12:
+        return word
+    here, best = _bits(model, word)[0] + GAIN_BITS / 4, word
+    for wrong, right in used:
+        out = _inverse(word, wrong, right)
+        if out and out != word and _bits(model, out)[0] > here:
+            here, best = _bits(model, out)[0], out
+    return best
+
+
 def _undo_letters(word: str, model: Model) -> tuple[str, float]:
     """The best letter-for-letter mapping of one word."""
     here, best, gained = _bits(model, word)[0], word, 0.0
@@ -372,6 +386,7 @@ def repair(text: str, model: Model, find_only: bool = False) -> tuple[bool, bool
     if find_only and (lost or asked):
         return True, False, text
     out, at, mapped, left_over = [], 0, False, False
+    used: set[tuple[str, str]] = set()
     _, letter, symbol, damage = tables()
     for low, high in _pieces(text, model):
         piece = text[low:high]
@@ -379,7 +394,7 @@ def repair(text: str, model: Model, find_only: bool = False) -> tuple[bool, bool
         undone = _bits(model, plain)[0] - _bits(model, piece)[0] if plain != piece else 0.0
         if undone > 0 and not _pieces(plain, model):
             continue
-        better, gain = restore_piece(piece, model, undone)
+        better, gain = restore_piece(piece, model, undone, used)
         if gain > 0:
             mapped = True
         elif -_bits(model, plain)[0] >= LOST_BITS:
@@ -391,6 +406,8 @@ def repair(text: str, model: Model, find_only: bool = False) -> tuple[bool, bool
         out += [text[at:low], better]
         at = high
     fixed = "".join(out) + text[at:]
+    if used:
+        fixed = "".join(_follow(w, model, used) for w in _SPACES.split(fixed))
     still = any(c == "�" or "\x80" <= c < "\xa0" for c in fixed)
     return lost or asked or mapped or left_over, (mapped or lost) and not (still or asked or left_over), fixed
 
