@@ -40,8 +40,8 @@ def match_key(col: Column) -> Column:
 
 def tokens(col: Column) -> Column:
     """Folded words; null and wordless texts have the empty array."""
-    key = match_key(col)
-    return F.when(key.isNull() | (key == ""), F.array().cast("array<string>")).otherwise(F.split(key, " "))
+    words = F.filter(F.split(fold(col), "[^a-z0-9]+"), lambda w: w != "")
+    return F.coalesce(words, F.array().cast("array<string>"))
 
 
 def compact_key(col: Column) -> Column:

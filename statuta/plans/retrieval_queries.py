@@ -37,7 +37,7 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _passages(spark, sf_dir)
     asked = table(spark, sf_dir, "gold_questions").dropDuplicates(["question_id"])
-    found = bm.search(asked, bm.postings(docs, "unit_id", "content"), bm.corpus_stats(docs, "unit_id", "content"), "question_id", "question", 10)
+    found = bm.search(asked, docs, "question_id", "question", "unit_id", "content", 10)
     return found.select(F.col("q").alias("question_id"), F.round("score", 6).alias("score"), "rank")
 
 
