@@ -33,6 +33,11 @@ def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
 
 
+def strip(col: Column) -> Column:
+    """White space of any kind removed at both ends."""
+    return F.regexp_replace(col, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def match_key(col: Column) -> Column:
     """Folded text with everything but letters and digits as single spaces."""
     return F.trim(F.regexp_replace(fold(col), "[^a-z0-9]+", " "))
