@@ -146,7 +146,7 @@ class _Trie:
 
 
 # Kinds of the token before a mark.
-(GAP, NUM, SINGLE, ROMAN1, ROMAN, LOW1, WORD, DOTTED, LINK, BULLET, ENDED, DOTS) = range(12)
+(GAP, NUM, SINGLE, ROMAN1, ROMAN, LOW1, WORD, DOTTED, LINK, BULLET, ENDED, DOTS, MIXED) = range(13)
 # Places of the token in its line.
 (START, FIRST, AFTER1, SECOND, LATER) = range(5)
 
@@ -291,6 +291,8 @@ class Rules:
             return (place, LINK, -1, 0)
         if type_ == COLON:
             return (place, BULLET, -1, 0)
+        if kind == MIXED:
+            return (place, WORD if type_ in (DIGIT, UPPER, LOWER, DEVA, OTHER, THAI, HAN, KANA, SYM) else MIXED, -1, 0)
         if kind == BULLET:
             if type_ == DIGIT:
                 return (place, NUM, -1, 0)
@@ -307,11 +309,11 @@ class Rules:
                 return (place, BULLET, -1, 0)
             return (place, WORD, -1, 0)
         if type_ in (CLOSE, OPENB, OPENQ, QUOTE):
-            return (place, BULLET, -1, 0)
+            return (place, MIXED, -1, 0)
         if type_ == DIGIT:
             return (place, WORD if kind != DOTTED else DOTTED, -1, 0)
         if type_ == COMMA:
-            return (place, WORD if symbol in (21, 22) else BULLET, -1, 0)
+            return (place, WORD if symbol in (21, 22) else MIXED, -1, 0)
         node = self.words.step(node, ch) if ch else -1
         if kind in (ROMAN1, ROMAN) and ch and ch in "IVXLCDM":
             return (place, ROMAN, node, stop)
@@ -333,10 +335,8 @@ class Rules:
             return (False, NL, -1) if first == NL else (True, first, -1)
         ch = self.of_symbol.get(symbol, "")
         if type_ in (UPPER, LOWER):
-            inside = not gap and first in (UPPER, LOWER, SYM + 100)
+            inside = not gap and first in (UPPER, LOWER)
             node = self.months.step(node if inside else 0, ch) if ch and (node >= 0 or not inside) else -1
-            if type_ == LOWER and not gap and first == UPPER:
-                return (False, SYM + 100, node)  # small before capital letter: odd case, as in garbled words
             if type_ == UPPER and node in self.months.final:
                 return (False, UPPER + 100, node)
             return (False, type_, node)
@@ -421,6 +421,23 @@ def _neighbours(types: np.ndarray, at: np.ndarray, offsets: np.ndarray, text_of:
     return before, after
 
 
+def _garbled_symbols(small: np.ndarray, types: np.ndarray, symbols: np.ndarray) -> None:
+    """Garbled text keeps its marks, but a capital may have become a small letter before a
+    sign, a lone ë, or a small letter before capitals; and a no-break space may be half of
+    a letter. Such places begin words, or belong to them, like other symbols."""
+    if small.size < 2:
+        return
+    following, leading = small[1:], np.concatenate([[10], small[:-2]])
+    begins = (types[np.maximum(np.arange(small.size - 1) - 1, 0)] == WS) | (leading == 10)
+    sign = _mask(types[1:], (SYM, CLOSE))
+    odd = begins & ((types[:-1] == LOWER) & sign & (small[:-1] > 0x7F) | (small[:-1] == 0xB7) & (following == 0xAA) | (small[:-1] == 0xEB) & (types[1:] == WS))
+    odd |= begins & (small[:-1] == 0x192) & (following == 0xEA)
+    odd |= (small[:-1] >= 0x430) & (small[:-1] < 0x450) & (following >= 0x410) & (following < 0x430)
+    symbols[:-1][odd] = SYM
+    half = np.flatnonzero((small[1:-1] == 0xA0) & np.isin(small[:-2], (0xC2, 0xC3, 0x102)) & (types[2:] != UPPER)) + 1
+    symbols[half] = SYM
+
+
 def boundaries(texts: list[str], chunk: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all texts: the text's number, start and end of each sentence, in order."""
     r = rules()
@@ -446,6 +463,8 @@ def boundaries(texts: list[str], chunk: int = 4096) -> tuple[np.ndarray, np.ndar
                 symbols[i], symbols[i + 1 : i + size] = types[i], ZERO
                 break
 
+    _garbled_symbols(small, types, symbols)
+
     # quotation marks and brackets that stand where they can open or close
     at = np.flatnonzero(signs)
     sub = np.searchsorted(at, offsets)
@@ -453,7 +472,7 @@ def boundaries(texts: list[str], chunk: int = 4096) -> tuple[np.ndarray, np.ndar
     sign = signs[at].astype(np.int64)
     before, after = _neighbours(types, at, offsets, owner)
     bracket = np.isin(small[at], _BRACKET_POINTS)
-    solid_before = _mask(before, (UPPER, LOWER, DIGIT, SYM))
+    solid_before = _mask(before, (UPPER, LOWER, DIGIT, SYM, CLOSE))
     can_open = bracket | ~solid_before & (~_mask(after, (WS, NL)) | (small[at] == 0xAB))
     can_close = bracket | ~_mask(after, (UPPER, LOWER, DIGIT, SYM)) & (before != NL)
     ahead = r.coming[run(r.ahead, np.where((sign > 1) & ~can_close, 0, sign), sub, reverse=True, chunk=chunk)]
@@ -488,13 +507,13 @@ def boundaries(texts: list[str], chunk: int = 4096) -> tuple[np.ndarray, np.ndar
     gap, first = r.right_gap[right[c]], r.right_first[right[c]]
     capital = _mask(first, (UPPER, UPPER + 100))
     uncased = _mask(first, (OTHER, THAI, HAN, KANA, DEVA))
-    fresh = gap & (capital | uncased | _mask(first, (SYM, SYM + 100, OPENQ, QUOTE)))
+    fresh = gap & (capital | uncased | _mask(first, (SYM, OPENQ, QUOTE)))
 
     # a full stop
     listed = (spot == FIRST) & _mask(kind, (NUM, SINGLE, ROMAN1, ROMAN, LOW1)) | (spot == SECOND) & _mask(kind, (NUM, ROMAN, ROMAN1))
     initial = (kind == SINGLE) | (kind == LOW1) & ~r.left_number[state] | (kind == ROMAN1) & r.left_dot[state]
     held = listed | initial | (kind == NUM) & (first == UPPER + 100) | r.left_abbreviation[state]
-    close_up = ~gap & (first == UPPER) & _mask(kind, (WORD, ROMAN, NUM, BULLET, DOTTED)) & (before != UPPER)
+    close_up = ~gap & (first == UPPER) & _mask(kind, (WORD, ROMAN, NUM, BULLET, DOTTED, MIXED)) & (before != UPPER)
     close_up |= ~gap & _mask(first, (OTHER, HAN, SYM)) & (kind == WORD) & ~_mask(before, (UPPER, DIGIT))
     ends = (kinds == DOT) & ~_mask(kind, (ENDED, DOTS)) & (before != DEVA) & (fresh | close_up | gap & (first == OPENB) & (kind == WORD)) & ~held
     ends |= ((kinds == DOT) & (kind == DOTS) | (point == 0x2026)) & (fresh | ~gap & capital)
