@@ -38,8 +38,10 @@ CLASSES = 2048
 FLOOR = 1e-6
 #: Bits a run must be improbable by, and bits a mapping must gain.
 RUN_BITS, GAIN_BITS = 7.0, 8.0
+#: Bits of a pair that no sound record holds, or less if it were expected.
+UNSEEN = -4
 #: Mean bits a pair of restored text must reach.
-MEAN_BITS = 0.3
+MEAN_BITS = -0.3
 #: Bits and inner symbols from which a run is called garbled although no mapping restores it.
 LOST_BITS, LOST_SYMBOLS = 40.0, 3
 
@@ -137,14 +139,21 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return _class_table(), letter, symbol, damage
 
 
+#: Signs of Latin-1 that sound text has after a letter (quotation marks, powers, degrees,
+#: fractions, mu, ordinals).
+_TRAILING = np.isin(np.arange(256), [0xAA, 0xAB, 0xB0, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBB, 0xBC, 0xBD, 0xBE])
+
+
 def _doubtful(small: np.ndarray, letter: np.ndarray, symbol: np.ndarray, damage: np.ndarray) -> np.ndarray:
     """Positions that only damaged text has: a symbol between letters, two symbols in a
-    row next to a letter, a control or replacement character, a question mark in a word."""
+    row or with a quotation mark next to a letter, a sign after a letter, a control or replacement character, a question mark in a word."""
     is_letter, is_symbol = letter[small], symbol[small] | (small == 0x3F)
     left = np.concatenate([[False], is_letter[:-1]])
     right = np.concatenate([is_letter[1:], [False]])
+    after_letter = is_symbol & left & ~right & ~_TRAILING[np.minimum(small, 0xFF)] & (small > 0x7F)
+    quoted = np.concatenate([(small[1:] >= 0x2018) & (small[1:] < 0x203B), [False]]) & is_symbol & left & (small > 0x7F)
     doubled = np.concatenate([[False], is_symbol[:-1]]) & is_symbol & (left | right | np.concatenate([[False, False], is_letter[:-2]])) if small.size > 2 else np.zeros(small.size, bool)
-    return is_symbol & left & right | doubled & (small > 0x7F) | damage[small]
+    return is_symbol & left & right | doubled & (small > 0x7F) | after_letter | quoted | damage[small]
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
@@ -198,7 +207,7 @@ class Model:
             first = np.bincount(pairs // CLASSES, self.counts, CLASSES)
             second = np.bincount(pairs % CLASSES, self.counts, CLASSES)
             expected = (first[:, None] * (second[None, :] / total)).astype(np.float32).ravel()
-            score = -3 - np.log2(1 + expected / (total * FLOOR))
+            score = UNSEEN - np.log2(1 + expected / (total * FLOOR))
             score[pairs] = np.log2(self.counts / (expected[pairs] + total * FLOOR))
             self._doubt(score, pairs, total)
             self._scores = np.clip(np.round(score * 4), -32, 16).astype(np.int8)
@@ -271,10 +280,30 @@ _OTHERS = [(w, r) for r, ws in WRONG.items() if r != "utf-8" for w in ws]
 _LOST = re.compile(r"[^\W\d_]\?[^\W\d_A-ZĐ]|(?:^|[\s(“\"|])\?+[^\W\d_]|\?\?+[^\W\d_]|[^\W\d_]\?\?+[^\W\d_?]")
 _LINK = re.compile(r"\S*(?:://|www\.|@|\?[^\W\d_]+=)\S*")
 _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+#: A letter whose second byte was read as a no-break space.
+_HALF = re.compile("[a-zà-ỹđ]Ã\xa0|Ã\xa0(?=[a-z])")
 _SPACES = re.compile(r"([ \n\r\t]+)")
 _EDGE = " \n\r\t"
 
 
+@lru_cache(maxsize=1)
+def _sequences() -> list[tuple[str, re.Pattern]]:
+    """Per encoding, how a UTF-8 lead byte and its first continuation look when read in it."""
+    out = []
+    for name in _UTF8_READ_AS:
+        try:
+            chars = [bytes([b]).decode(name, "ignore") or chr(b) for b in range(256)]
+            single = all(len(c) == 1 for c in chars) and len({*chars}) > 200
+        except UnicodeDecodeError:
+            single = False
+        if single:
+            leads, rest = ("".join(re.escape(chars[b]) for b in span) for span in (range(0xC2, 0xF5), range(0x80, 0xC0)))
+            out.append((name, re.compile(f"[{leads}][{rest}]")))
+        else:
+            out.append((name, re.compile("[⺀-鿿가-힣＀-￯]")))  # two-byte encodings look East Asian
+    return out
+
+
 def _bits(model: Model, text: str) -> tuple[float, float]:
     scores = model.text_scores(text)
     return scores.sum() / 4, scores.mean() / 4
@@ -284,8 +313,8 @@ def _undo_utf8(piece: str, model: Model, depth: int = 3) -> tuple[str, float]:
     """Valid UTF-8 behind a wrong reading is strong evidence by itself; what comes out
     must only be less improbable than what stood there."""
     here, best, gained = None, piece, 0.0
-    for wrong in _UTF8_READ_AS:
-        out = _inverse(piece, wrong, "utf-8")
+    for wrong, looks in _sequences():
+        out = _inverse(piece, wrong, "utf-8") if looks.search(piece) else None
         if out is None or out == piece:
             continue
         if depth > 1 and not out.isascii():
@@ -299,21 +328,38 @@ def _undo_utf8(piece: str, model: Model, depth: int = 3) -> tuple[str, float]:
     return best, gained
 
 
+def _undo_words(piece: str, model: Model) -> tuple[str, float]:
+    """The run as a whole, else its words, as sound or lossy ones may stand between garbled ones."""
+    if not any(looks.search(piece) for _, looks in _sequences()):
+        return piece, 0.0
+    best, gained = _undo_utf8(piece, model)
+    words = _SPACES.split(piece)
+    if gained or len(words) == 1:
+        return best, gained
+    fixed = [(w, 0.0) if w.isascii() else _undo_utf8(w, model) for w in words]
+    return "".join(w for w, _ in fixed), sum(g for _, g in fixed)
+
+
+def _enough(piece: str, out: str) -> bool:
+    """One changed letter proves nothing, unless it was a symbol inside a word or stands in
+    a word of small letters."""
+    if piece.islower() or len(out) != len(piece) or sum(a != b for a, b in zip(piece, out)) > 1:
+        return True
+    _, letter, symbol, damage = tables()
+    cps = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return bool(_doubtful(np.where(cps < 0x10000, cps, 0xFFF0).astype(np.int64), letter, symbol, damage).any())
+
+
 def restore_piece(piece: str, model: Model, undone: float = 0.0, used: set | None = None) -> tuple[str, float]:
     """The most probable inverse mapping of an improbable run, and the bits gained. A
     mapping between single-byte encodings must gain more than ``undone``, the bits gained
     by undoing disguises. ``used`` collects the mappings between other encodings."""
     if piece.isascii():
         return piece, 0.0
-    best, gained = _undo_utf8(piece, model)
+    best, gained = _undo_words(piece, model)
     if gained:
         return best, gained
     words = _SPACES.split(piece)
-    if len(words) > 1:  # sound or lossy words may stand between garbled ones
-        fixed = [(w, 0.0) if w.isascii() else _undo_utf8(w, model) for w in words]
-        gained = sum(g for _, g in fixed)
-        if gained:
-            return "".join(w for w, _ in fixed), gained
     here, tried, way = _bits(model, piece)[0], {piece}, None
     for wrong, right in _OTHERS:
         out = _inverse(piece, wrong, right)
@@ -321,13 +367,13 @@ def restore_piece(piece: str, model: Model, undone: float = 0.0, used: set | Non
             continue
         tried.add(out)
         bits, mean = _bits(model, out)
-        if bits - here > max(gained, GAIN_BITS + max(undone, 0.0)) and mean >= MEAN_BITS:
+        if bits - here > max(gained, GAIN_BITS + max(undone, 0.0)) and mean >= MEAN_BITS and _enough(piece, out):
             best, gained, way = out, bits - here, (wrong, right)
     if way and used is not None:
         used.add(way)
     if not gained and undone <= 0 and len(words) > 1:  # words damaged in several ways
         fixed = [(w, 0.0) if w.isascii() else _undo_letters(w, model) for w in words]
-        if sum(g for _, g in fixed) > GAIN_BITS:
+        if sum(g for _, g in fixed) > GAIN_BITS and _enough(piece, "".join(w for w, _ in fixed)):
             return "".join(w for w, _ in fixed), sum(g for _, g in fixed)
     return best, gained
 
@@ -365,7 +411,8 @@ def _pieces(text: str, model: Model) -> list[list[int]]:
     """Improbable runs, widened to whole words and merged where they touch."""
     weights = (-model.text_scores(text)).tolist()
     pieces: list[list[int]] = []
-    for a, b, _ in sorted(segments(weights, RUN_BITS * 4)):  # pair i joins characters i-1 and i
+    runs = segments(weights, RUN_BITS * 4) + [(m.start() + 1, m.end(), 0) for m in _HALF.finditer(text)]
+    for a, b, _ in sorted(runs):  # pair i joins characters i-1 and i
         low, high = max(a - 1, 0), min(b, len(text))
         while low > 0 and text[low - 1] not in _EDGE:
             low -= 1
@@ -392,7 +439,7 @@ def repair(text: str, model: Model, find_only: bool = False) -> tuple[bool, bool
         piece = text[low:high]
         plain = _disguised(piece)
         undone = _bits(model, plain)[0] - _bits(model, piece)[0] if plain != piece else 0.0
-        if undone > 0 and not _pieces(plain, model):
+        if undone > 0 and not _undo_words(piece, model)[1] and not _pieces(plain, model):
             continue
         better, gain = restore_piece(piece, model, undone, used)
         if gain > 0:
@@ -432,7 +479,9 @@ def suspects(values: list[str], model: Model) -> np.ndarray:
     base = np.minimum.accumulate(np.concatenate([[0], climb[:-1]]) + reset)
     run = climb - base
     flagged[filled] = np.maximum.reduceat(run, heads) >= RUN_BITS * 4
-    special = np.flatnonzero(damage[small] | (small == 0x3F))
+    special = damage[small] | (small == 0x3F)
+    special[1:] |= (small[1:] == 0xA0) & (small[:-1] == 0xC3)
+    special = np.flatnonzero(special)
     if special.size:
         owner = np.searchsorted(offsets, special, side="right") - 1
         flagged[owner] = True
