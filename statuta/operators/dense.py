@@ -75,3 +75,16 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k
 def activation(queries: DataFrame, vectors: DataFrame, key: str, vector: str, label: str, least: float) -> DataFrame:
     """Per query and label the best similarity of at least ``least``."""
     return similarities(queries, vectors, key, vector, None, label, least).groupBy("query_id", label).agg(F.max("similarity").alias("activation"))
+
+
+def mine(candidates: DataFrame, seeds: DataFrame, key: str, vector: str, label: str, count: str | None = None, top: int = 10, least: float = 0.35) -> DataFrame:
+    """``candidate, score``: candidates scored by the seeds of their own label: .75 of the
+    best similarity, .25 of the mean of the best ``top``, and a bonus for frequency of at
+    most .08 (ln(1 + n) / 50). Scores under ``least`` are left out."""
+    own = candidates.select(F.col(key).alias("query_id"), F.col(label).alias("_label"), *([F.col(count).alias("_n")] if count else []))
+    near = similarities(candidates, seeds, key, vector, None, label).join(own, "query_id").where(F.col(label) == F.col("_label"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item")
+    best = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
+    bonus = F.least(F.lit(0.08), F.log1p(F.max("_n")) / 50) if count else F.lit(0.0)
+    score = 0.75 * F.max("similarity") + 0.25 * F.avg("similarity") + bonus
+    return best.groupBy(F.col("query_id").alias("candidate")).agg(score.alias("score")).where(F.col("score") >= least)

@@ -30,6 +30,33 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*found)).alias("m")).select(key, "m.*")
 
 
+# What an amendment does, and what it is done to.
+AMENDMENT = r"(sửa đổi|bổ sung|thay thế|bãi bỏ|hủy bỏ|đính chính)[^.;]{0,100}?(Điều|khoản|điểm|Phụ lục|Mẫu số|cụm từ|Thông tư|Nghị định|Quyết định)"
+
+
+def amendments(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, action, target``: amending verbs that name a part of the law within 100
+    characters of the same sentence."""
+    plain = F.lower(text)
+    pattern = F.lit(AMENDMENT.lower())
+    both = F.arrays_zip(F.regexp_extract_all(plain, pattern, F.lit(1)).alias("action"), F.regexp_extract_all(plain, pattern, F.lit(2)).alias("target"))
+    return df.where(F.col(text).isNotNull()).select(key, F.explode(both).alias("m")).select(key, "m.action", "m.target")
+
+
+# Fixed value: a line of a form with its label and what is filled in.
+FORM_LINE = r"^([^:\n]{2,80}):\s*(.*)$"
+
+
+def form_fields(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, label, value, filled``: lines "label: value" of forms; dots, dashes and
+    underscores alone mean that nothing is filled in, and the value is null."""
+    line = F.explode(F.split(F.col(text), r"\r\n|\r|\n")).alias("line")
+    rows = df.where(F.col(text).isNotNull()).select(key, line).select(key, tx.strip(F.col("line")).alias("line")).where(F.col("line").rlike(FORM_LINE))
+    value = tx.strip(F.regexp_extract("line", FORM_LINE, 2))
+    solid = F.nullif(F.regexp_replace(value, r"^[.…_\s-]+$", ""), F.lit(""))
+    return rows.select(key, tx.strip(F.regexp_extract("line", FORM_LINE, 1)).alias("label"), solid.alias("value"), solid.isNotNull().alias("filled"))
+
+
 def dedupe(mentions: DataFrame, scope: str) -> DataFrame:
     """Mentions merged per scope, type and folded label (raw text where there is no label):
     occurrences summed, distinct units and raw texts counted, the first raw text kept."""

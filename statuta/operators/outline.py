@@ -26,6 +26,18 @@ LEVELS = {
 }
 NAMES = {"phan": "Phần", "chuong": "Chương", "muc": "Mục", "tieu_muc": "Tiểu mục", "dieu": "Điều", "khoan": "Khoản", "diem": "Điểm"}
 
+# The same for annexes.
+ANNEX_LEVELS = {
+    "roman": r"^([IVX]+)\.\s",
+    "alpha": r"^([A-ZĐ])\.\s",
+    "decimal_1": r"^(\d+)\.\s",
+    "decimal_2": r"^(\d+\.\d+)\.?\s",
+    "decimal_3": r"^(\d+(?:\.\d+){2,})\.?\s",
+    "point": r"^([a-zđ])\)\s*",
+    "bullet": r"^([-–•])\s",
+}
+ANNEX_NAMES = {"roman": "Mục", "alpha": "Phần", "decimal_1": "", "decimal_2": "", "decimal_3": "", "point": "Điểm", "bullet": ""}
+
 
 def lines(df: DataFrame, doc: str, text: str) -> DataFrame:
     """``doc, ord, line``: the non-blank lines of each text, numbered from 0 by place."""
@@ -33,16 +45,18 @@ def lines(df: DataFrame, doc: str, text: str) -> DataFrame:
     return rows.select("doc", "ord", tx.strip(F.col("line")).alias("line")).where("line <> ''")
 
 
-def outline(rows: DataFrame) -> DataFrame:
-    """``doc, ord, unit_type, label, parent_ord, path_text, line`` of ordered lines."""
+def outline(rows: DataFrame, levels: dict[str, str] = LEVELS, names: dict[str, str] = NAMES) -> DataFrame:
+    """``doc, ord, unit_type, label, parent_ord, path_text, line`` of ordered lines. The
+    first level whose pattern fits a line is taken; ``names`` are written in the path."""
     label = lambda p: F.nullif(F.regexp_extract("line", p, 1), F.lit(""))
-    kind = reduce(lambda w, k: w.when(F.col("line").rlike(LEVELS[k]), F.lit(k)), LEVELS, F.when(F.lit(False), F.lit("")))
-    typed = rows.withColumn("unit_type", kind).withColumn("label", F.coalesce(*[label(p) for p in LEVELS.values()]))
+    kind = reduce(lambda w, k: w.when(F.col("line").rlike(levels[k]), F.lit(k)), levels, F.when(F.lit(False), F.lit("")))
+    typed = rows.withColumn("unit_type", kind).withColumn("label", F.coalesce(*[label(p) for p in levels.values()]))
     so_far = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = F.concat_ws(" ", F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])[F.col("unit_type")], F.col("label"))
+    word = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("unit_type")]
+    named = F.concat_ws(" ", F.nullif(word, F.lit("")), F.col("label"))
     opened = F.struct(F.col("ord").alias("o"), named.alias("n"))
-    last = typed.select("*", *[F.last(F.when(F.col("unit_type") == k, opened), ignorenulls=True).over(so_far).alias(k) for k in LEVELS])
-    order = list(LEVELS)
+    last = typed.select("*", *[F.last(F.when(F.col("unit_type") == k, opened), ignorenulls=True).over(so_far).alias(k) for k in levels])
+    order = list(levels)
     # open levels: those whose last heading comes after every higher level's
     is_open = {k: F.col(k).isNotNull() & reduce(lambda c, h: c & (F.col(h).isNull() | (F.col(h)["o"] < F.col(k)["o"])), order[:i], F.lit(True)) for i, k in enumerate(order)}
     own = {k: F.col("unit_type") == k for k in order}

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.operators import dense as dn
 from statuta.operators import events as ev
+from statuta.operators import mentions as mn
 from statuta.operators import outline as ol
 from statuta.operators import splitter as sp
+from statuta.operators import rerank as rr
 from statuta.operators import titles as ti
+from statuta.operators import validity as va
 from statuta.operators.corpus import latest
 from statuta.plans.text_queries import KEY_SQL
 from statuta.session import table
@@ -38,21 +42,79 @@ def title_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ti.resolve(hints, "document_title", table(spark, sf_dir, "documents"), "document_number", "title")
 
 
-QUERIES = {f.__name__: f for f in (document_outline, legal_sentences, validity_events, title_resolution)}
+def annex_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for attachments' units of several lines, with the levels of annexes."""
+    units = latest(table(spark, sf_dir, "units"), "unit_id", keep=["content", "source_type"]).where("source_type = 'attachment'")
+    out = ol.outline(ol.lines(units, "unit_id", "content"), ol.ANNEX_LEVELS, ol.ANNEX_NAMES)
+    return out.select(F.col("doc").alias("unit_id"), "ord", "unit_type", "label", "parent_ord", "path_text")
 
-_ORDER = list(ol.LEVELS)
-_OPEN = {k: f"({k} IS NOT NULL" + "".join(f" AND ({h} IS NULL OR {h} < {k})" for h in _ORDER[:i]) + ")" for i, k in enumerate(_ORDER)}
+
+def amendment_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = latest(table(spark, sf_dir, "sentences"), "sentence_id", keep=["context_text", "text"])
+    found = mn.amendments(texts.withColumn("whole", F.concat_ws(" ", "context_text", "text")), "sentence_id", "whole")
+    return found.groupBy("action", "target").agg(F.countDistinct("sentence_id").alias("n_sentences"))
+
+
+def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = latest(table(spark, sf_dir, "units"), "unit_id", keep=["content", "source_type"]).where("source_type = 'attachment'")
+    return mn.form_fields(units, "unit_id", "content").groupBy("label", "filled").agg(F.countDistinct("unit_id").alias("n_units"))
+
+
+def mined_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as a candidate, scored by the others of its label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return dn.mine(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", "label", least=-1.0).select("candidate", F.round("score", 4).alias("score"))
+
+
+def reranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored runs reranked by whether their document is in force on 2026-01-01: five a question."""
+    runs = table(spark, sf_dir, "retrieval_results").where("question_id is not null and passage_id is not null")
+    once = runs.groupBy("question_id", "passage_id").agg(F.max("document_id").alias("document_id"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+    known = va.register(table(spark, sf_dir, "effectivity_index")).select("document_id", va.active(F.col("valid_from"), F.col("valid_to"), F.lit("2026-01-01").cast("date")).alias("in_force"))
+    out = rr.rerank(once.join(known, "document_id", "left"), "question_id", "passage_id", "score", F.col("in_force"), F.lit(0.0), 5)
+    return out.select("question_id", "passage_id", F.round("final_score", 4).alias("final_score"), "rank")
+
+
+QUERIES = {f.__name__: f for f in (document_outline, annex_outline, legal_sentences, validity_events, amendment_mentions, form_fields, title_resolution, mined_candidates, reranked_results)}
+
+def _outline_sql(source: str, key: str, text: str, levels: dict[str, str], names: dict[str, str]) -> str:
+    order = list(levels)
+    opened = {k: f"({k} IS NOT NULL" + "".join(f" AND ({h} IS NULL OR {h} < {k})" for h in order[:i]) + ")" for i, k in enumerate(order)}
+    breaks = r"'\r\n|\r|\n'"
+    return f"""WITH l AS (SELECT {key}, ord, line FROM (SELECT {key}, ord, regexp_replace(line, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS line FROM (SELECT {key}, unnest(string_split_regex({text}, {breaks})) AS line, generate_subscripts(string_split_regex({text}, {breaks}), 1) - 1 AS ord FROM {source} WHERE {text} IS NOT NULL)) WHERE line <> ''),
+t AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, p in levels.items())} END AS kind,
+  coalesce({", ".join(f"nullif(regexp_extract(line, '{p}', 1), '')" for p in levels.values())}) AS label FROM l),
+o AS (SELECT *, {", ".join(f"max(CASE WHEN kind = '{k}' THEN ord END) OVER w AS {k}" for k in order)} FROM t WINDOW w AS (PARTITION BY {key} ORDER BY ord ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT {key}, ord, concat_ws(' ', nullif(CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())} END, ''), label) AS name FROM t WHERE kind IS NOT NULL)
+SELECT o.{key}, o.ord::INTEGER AS ord, coalesce(kind, 'text') AS unit_type, o.label, coalesce({", ".join(f"CASE WHEN {opened[k]} AND coalesce(kind, '') <> '{k}' THEN {k} END" for k in reversed(order))})::INTEGER AS parent_ord,
+  concat_ws(' > ', {", ".join(f"CASE WHEN {opened[k]} THEN n_{k}.name END" for k in order)}) AS path_text
+FROM o {" ".join(f"LEFT JOIN n n_{k} ON n_{k}.{key} = o.{key} AND n_{k}.ord = o.{k}" for k in order)}"""
+
+
+_ATTACHED = "(SELECT unit_id, content FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY ingested_at DESC, content DESC NULLS LAST, source_type DESC NULLS LAST) AS _r FROM units WHERE unit_id IS NOT NULL) WHERE _r = 1 AND source_type = 'attachment')"
 _WORDS = "list_distinct(list_filter(string_split({0}, ' '), lambda w: w <> ''))"
 
 SQL = {
-    "document_outline": f"""WITH l AS (SELECT doc_id, ord, line FROM (SELECT doc_id, ord, regexp_replace(line, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS line FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) - 1 AS ord FROM documents WHERE text IS NOT NULL)) WHERE line <> ''),
-t AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, p in ol.LEVELS.items())} END AS kind,
-  coalesce({", ".join(f"nullif(regexp_extract(line, '{p}', 1), '')" for p in ol.LEVELS.values())}) AS label FROM l),
-o AS (SELECT *, {", ".join(f"max(CASE WHEN kind = '{k}' THEN ord END) OVER w AS {k}" for k in _ORDER)} FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING)),
-n AS (SELECT doc_id, ord, CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ol.NAMES.items())} END || ' ' || label AS name FROM t WHERE kind IS NOT NULL)
-SELECT o.doc_id, o.ord::INTEGER AS ord, coalesce(kind, 'text') AS unit_type, o.label, coalesce({", ".join(f"CASE WHEN {_OPEN[k]} AND coalesce(kind, '') <> '{k}' THEN {k} END" for k in reversed(_ORDER))})::INTEGER AS parent_ord,
-  concat_ws(' > ', {", ".join(f"CASE WHEN {_OPEN[k]} THEN n_{k}.name END" for k in _ORDER)}) AS path_text
-FROM o {" ".join(f"LEFT JOIN n n_{k} ON n_{k}.doc_id = o.doc_id AND n_{k}.ord = o.{k}" for k in _ORDER)}""",
+    "document_outline": _outline_sql("documents", "doc_id", "text", ol.LEVELS, ol.NAMES),
+    "annex_outline": _outline_sql(_ATTACHED, "unit_id", "content", ol.ANNEX_LEVELS, ol.ANNEX_NAMES),
+    "amendment_mentions": f"""WITH s AS (SELECT sentence_id, lower(concat_ws(' ', context_text, text)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY ingested_at DESC, context_text DESC NULLS LAST, text DESC NULLS LAST) AS _r FROM sentences WHERE sentence_id IS NOT NULL) WHERE _r = 1),
+x AS (SELECT sentence_id, unnest(regexp_extract_all(t, '{mn.AMENDMENT.lower()}', 1)) AS action, unnest(regexp_extract_all(t, '{mn.AMENDMENT.lower()}', 2)) AS target FROM s)
+SELECT action, target, count(DISTINCT sentence_id) AS n_sentences FROM x GROUP BY ALL""",
+    "form_fields": f"""WITH l AS (SELECT unit_id, regexp_replace(line, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS line FROM (SELECT unit_id, unnest(string_split_regex(content, '\\r\\n|\\r|\\n')) AS line FROM {_ATTACHED} WHERE content IS NOT NULL)),
+f AS (SELECT unit_id, regexp_replace(regexp_extract(line, '{mn.FORM_LINE}', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS label, regexp_replace(regexp_extract(line, '{mn.FORM_LINE}', 2), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS value FROM l WHERE regexp_matches(line, '{mn.FORM_LINE}'))
+SELECT label, nullif(regexp_replace(value, '^[.…_\\s-]+$', ''), '') IS NOT NULL AS filled, count(DISTINCT unit_id) AS n_units FROM f GROUP BY ALL""",
+    "mined_candidates": """WITH s AS (SELECT q.vec_id AS candidate, v.vec_id AS item, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY similarity DESC, item) AS r FROM s)
+SELECT candidate, round(0.75 * max(similarity) + 0.25 * avg(similarity), 4) AS score FROM r WHERE r <= 10 GROUP BY 1""",
+    "reranked_results": """WITH g AS (SELECT document_id,
+  min(try_strptime(CASE WHEN lower(trim(effective_from)) IN ('null','none','nan','nat','') THEN NULL ELSE trim(effective_from) END, '%Y-%m-%d')::DATE) AS a,
+  min(try_strptime(CASE WHEN lower(trim(effective_to)) IN ('null','none','nan','nat','') THEN NULL ELSE trim(effective_to) END, '%Y-%m-%d')::DATE) AS b FROM effectivity_index WHERE document_id IS NOT NULL GROUP BY 1),
+k AS (SELECT document_id, CASE WHEN a IS NULL THEN NULL ELSE a <= DATE '2026-01-01' AND (b IS NULL OR DATE '2026-01-01' < b) END AS ok FROM g),
+c AS (SELECT question_id, passage_id, max(document_id) AS document_id, coalesce(max(score), 0.0) AS score FROM retrieval_results WHERE question_id IS NOT NULL AND passage_id IS NOT NULL GROUP BY ALL),
+f AS (SELECT question_id, passage_id, score + CASE WHEN ok THEN 2.5 WHEN NOT ok THEN -8 ELSE 0 END AS final_score, coalesce(ok, true) AS keep FROM c LEFT JOIN k USING (document_id)),
+e AS (SELECT *, bool_or(keep) OVER (PARTITION BY question_id) AS any_kept FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final_score DESC, passage_id) AS rank FROM e WHERE keep OR NOT any_kept)
+SELECT question_id, passage_id, round(final_score, 4) AS final_score, rank FROM r WHERE rank <= 5""",
     "title_resolution": f"""WITH h AS (SELECT hint, hk, {_WORDS.format('hk')} AS hw FROM (SELECT DISTINCT document_title AS hint, {KEY_SQL('document_title')} AS hk FROM (SELECT document_title FROM sentences UNION ALL SELECT title FROM attachments) WHERE document_title IS NOT NULL) WHERE hk <> ''),
 t AS (SELECT key, tk, {_WORDS.format('tk')} AS tw FROM (SELECT DISTINCT document_number AS key, title, {KEY_SQL('title')} AS tk FROM documents WHERE document_number IS NOT NULL AND title IS NOT NULL) WHERE tk <> ''),
 p AS (SELECT hint, key, hk, tk, len(hw) AS nh, len(list_intersect(hw, tw)) * 1.0::DOUBLE / len(tw) AS ct, len(list_intersect(hw, tw)) * 1.0::DOUBLE / len(hw) AS ch FROM h, t),

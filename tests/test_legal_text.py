@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from statuta.operators import answers, events, models, outline, splitter, titles
+from statuta.operators import answers, dense, events, mentions, models, outline, splitter, titles
 
 
 def test_outline_resets_lower_levels(spark):
@@ -84,3 +84,24 @@ def test_model_boundaries(spark):
     assert sorted((r.id, r.span_start, r.span_end) for r in rows) == [(1, 3, 6), (1, 10, 13), (1, 17, 20), (1, 24, 27)]
     with pytest.raises(Exception):
         models.encode(df, "id", "text", lambda: lambda ts: [], 2).collect()
+
+
+def test_annex_levels(spark):
+    text = "I. Chung\n1. Xe\n1.1. Tải\n1.1.2 Nhẹ\na) Điểm\n- gạch\n2. Máy\nB. Khác"
+    df = spark.createDataFrame([("a", text), ("b", None)], "id string, text string")
+    rows = outline.outline(outline.lines(df, "id", "text"), outline.ANNEX_LEVELS, outline.ANNEX_NAMES).orderBy("ord").collect()
+    assert [(r.unit_type, r.label, r.parent_ord) for r in rows] == [("roman", "I", None), ("decimal_1", "1", 0), ("decimal_2", "1.1", 1), ("decimal_3", "1.1.2", 2), ("point", "a", 3), ("bullet", "-", 4), ("decimal_1", "2", 0), ("alpha", "B", 0)]
+    assert rows[3].path_text == "Mục I > 1 > 1.1 > 1.1.2"
+
+
+def test_amendments_and_form_fields(spark):
+    df = spark.createDataFrame([("a", "Sửa đổi, bổ sung Điều 5. Thay thế biển. Bãi bỏ Thông tư 7"), ("b", None), ("c", "")], "id string, text string")
+    assert sorted((r.action, r.target) for r in mentions.amendments(df, "id", "text").collect()) == [("bãi bỏ", "thông tư"), ("sửa đổi", "điều")]
+    forms = spark.createDataFrame([("a", "Mã hồ sơ: ......\nMàu sơn: Phú Sậy 3\nkhông có\n: x"), ("b", None)], "id string, text string")
+    assert sorted((r.label, r.value, r.filled) for r in mentions.form_fields(forms, "id", "text").collect()) == [("Màu sơn", "Phú Sậy 3", True), ("Mã hồ sơ", None, False)]
+
+
+def test_mining(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0], "A"), (1, [1.0, 0.0], "A"), (2, [0.0, 1.0], "A"), (3, [1.0, 0.0], "B"), (4, None, "A")], "id long, v array<float>, label string")
+    got = dense.mine(df.where("id = 0").withColumn("n", F.lit(0)), df, "id", "v", "label", "n").collect()
+    assert [(r.candidate, round(r.score, 6)) for r in got] == [(0, 0.875)]
