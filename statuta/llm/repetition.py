@@ -18,12 +18,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORDS, PIECES = 6, 8
 #: Longest phrase, in words, whose repetition in a row counts by itself.
@@ -115,12 +118,11 @@ def divergence(df: DataFrame, key: str, text: str, language: str, common: int =
     ranked = _top(words, common)
     reference = sums.join(ranked, "tag", "left")
     joined = counted.join(F.broadcast(reference), "tag")  # one row per language tag
-    mine, refs = [F.col(c) for c in classes], [F.col(f"ref_{c}") for c in classes]
-    class_distance = _distance(F.array(*mine), F.array(*refs))
-    counts = F.transform("top", lambda t: F.size(F.filter("words", lambda w: w == t["word"])).cast("double"))
-    word_distance = _distance(counts, F.transform("top", lambda t: t["n"].cast("double")))
+    class_distance = _class_distance(F.array(*[F.col(c) for c in classes]), F.array(*[F.col(f"ref_{c}") for c in classes]))
+    word_distance = _word_distance(F.col("words"), F.col("top"))
     enough = F.col("size") >= least
-    return joined.select(F.col("key").alias(key), F.when(enough, class_distance).alias("class_distance"), F.when(enough, word_distance).alias("word_distance"))
+    measured = joined.select("key", enough.alias("enough"), class_distance.alias("class_distance"), word_distance.alias("word_distance"))
+    return measured.select(F.col("key").alias(key), F.when(F.col("enough"), F.col("class_distance")).alias("class_distance"), F.when(F.col("enough"), F.col("word_distance")).alias("word_distance"))
 
 
 def _top(words: DataFrame, k: int) -> DataFrame:
@@ -129,10 +131,26 @@ def _top(words: DataFrame, k: int) -> DataFrame:
     return best.groupBy("tag").agg(F.sort_array(F.collect_list(F.struct("n", "word")), asc=False).alias("top"))
 
 
-def _distance(p, q):
-    """Jensen-Shannon distance of two arrays of counts; null if either is all zero."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    pairs = F.zip_with(p, q, lambda a, b: F.struct(F.coalesce(F.try_divide(a, total(p)), F.lit(0.0)).alias("p"), F.coalesce(F.try_divide(b, total(q)), F.lit(0.0)).alias("q")))
-    part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
-    bits = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + part(x["p"], (x["p"] + x["q"]) / 2) / 2 + part(x["q"], (x["p"] + x["q"]) / 2) / 2)
-    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(bits, F.lit(0.0))))
+def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float | None:
+    """Jensen-Shannon distance (base 2) of two arrays of counts; null if either is all zero."""
+    if not p.sum() or not q.sum():
+        return None
+    p, q = p / p.sum(), q / q.sum()
+    m = (p + q) / 2
+    bits = sum(float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()) / 2 for x in (p, q))
+    return max(bits, 0.0) ** 0.5
+
+
+@F.pandas_udf(T.DoubleType())
+def _class_distance(mine: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([jensen_shannon(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(mine, reference)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def _word_distance(words: pd.Series, top: pd.Series) -> pd.Series:
+    out = []
+    for own, common in zip(words, top):
+        common = [(w["word"], w["n"]) for w in common] if common is not None else []
+        counts = Counter(own if own is not None else ())
+        out.append(jensen_shannon(np.array([counts[w] for w, _ in common], float), np.array([n for _, n in common], float)))
+    return pd.Series(out, dtype="float64")
