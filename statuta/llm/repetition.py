@@ -35,6 +35,7 @@ LEAST_SHARE = 0.35
 
 _DENSE = "฀-๿຀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿"
 _TOKEN = re.compile(f"[{_DENSE}]|(?:(?![{_DENSE}])[^\\W\\d_])+")
+_PLAIN = re.compile(r"[^\W\d_]+")  # where no script without spaces occurs
 _DENSE_ANY = re.compile(f"[{_DENSE}]")
 _BREAK = re.compile(r"[\n\r.!?…。！？।;]+")
 _UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
@@ -44,10 +45,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def repeated(text: str) -> tuple[int, int]:
     """Letters that repeat something, and all letters."""
     folded = text if text.isascii() else unicodedata.normalize("NFKC", text.translate(_UNSEEN))
+    dense = bool(_DENSE_ANY.search(folded))
+    split = (_TOKEN if dense else _PLAIN).findall
     tokens: list[str] = []
     bounds = [0]
     for part in _BREAK.split(folded.lower()):
-        found = _TOKEN.findall(part)
+        found = split(part)
         if found:
             tokens += found
             bounds.append(len(tokens))
@@ -58,7 +61,7 @@ def repeated(text: str) -> tuple[int, int]:
     ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.uint64, n)
     sizes = np.fromiter(map(len, tokens), np.int64, n)
     edge = np.zeros(n + 1, np.int64)  # where covered stretches begin and end
-    window = PIECES if sum(1 for t in tokens if _DENSE_ANY.match(t)) * 2 > n else WORDS
+    window = PIECES if dense and sum(1 for t in tokens if _DENSE_ANY.match(t)) * 2 > n else WORDS
     if n > window:
         with np.errstate(over="ignore"):
             keys = ids * _BASE + np.uint64(0x51ED27)
@@ -66,10 +69,10 @@ def repeated(text: str) -> tuple[int, int]:
             code = np.zeros(n - window + 1, np.uint64)
             for k in range(window):
                 code = code * _BASE + keys[k : k + code.size]
-        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-        again = np.flatnonzero(first[inverse] < np.arange(code.size))
-        np.add.at(edge, again, 1)
-        np.add.at(edge, again + window, -1)
+        order = np.argsort(code, kind="stable")  # of equal codes the first in the text comes first
+        again = order[1:][code[order[1:]] == code[order[:-1]]]
+        edge[again] += 1
+        edge[again + window] -= 1
     seen: set[tuple[str, ...]] = set()
     for low, high in zip(bounds[:-1], bounds[1:]):
         if 2 <= high - low <= window:
