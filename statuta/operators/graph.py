@@ -15,20 +15,25 @@ def entity_degree(links: DataFrame) -> DataFrame:
     return links.groupBy("entity").agg(F.countDistinct("passage").alias("degree"), F.log1p(F.sum("weight")).alias("weight"))
 
 
-def cooccurrence(links: DataFrame, most_entities: int = 40, most_degree: int = 2500, least: float = 0.05) -> DataFrame:
+def cooccurrence(links: DataFrame, most_entities: int | None = None, most_degree: int | None = None, least: float = 0.05) -> DataFrame:
     """``source, target, weight``: pairs of entities of a passage, with ln(1 + sum of the
-    smaller weights). Hubs above the degree cap and weights of 0 and less are left out
-    before pairing, and of a passage with more than ``most_entities`` only the heaviest
-    stay, so pairs per passage are bounded; that is the operator's definition."""
+    smaller weights); weights of 0 and less are left out. All entities and all pairs count
+    unless a cap is asked for: ``most_degree`` leaves out entities in more passages before
+    pairing, of a passage with more than ``most_entities`` only the heaviest stay. Pairs
+    are summed on the map side, so a frequent one is a row per task in the shuffle."""
     merged = links.groupBy("passage", "entity").agg(F.sum("weight").alias("weight"))
-    usual = merged.groupBy("entity").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") <= most_degree)
-    kept = merged.where("weight > 0").join(usual.select("entity"), "entity", "left_semi")
-    order = Window.partitionBy("passage").orderBy(F.desc("weight"), "entity")
-    top = kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most_entities)
-    gathered = top.groupBy("passage").agg(F.sort_array(F.collect_list(F.struct("entity", "weight"))).alias("es"))
-    # pairs inside one bounded array, without a self-join
-    pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, F.lit(most_entities)), lambda b: F.struct(a["entity"].alias("source"), b["entity"].alias("target"), F.least(a["weight"], b["weight"]).alias("w")))))
-    summed = gathered.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.sum("p.w").alias("w"))
+    kept = merged.where("weight > 0")
+    if most_degree is not None:
+        usual = merged.groupBy("entity").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") <= most_degree)
+        kept = kept.join(usual.select("entity"), "entity", "left_semi")
+    if most_entities is not None:
+        order = Window.partitionBy("passage").orderBy(F.desc("weight"), "entity")
+        kept = kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most_entities)
+    gathered = kept.groupBy("passage").agg(F.sort_array(F.collect_list(F.struct("entity", "weight"))).alias("es"))
+    # pairs inside the passage's array, without a self-join; one entity's partners at a time
+    first = gathered.select("es", F.posexplode("es").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("b"))
+    summed = pairs.groupBy(F.col("a.entity").alias("source"), F.col("b.entity").alias("target")).agg(F.sum(F.least("a.weight", "b.weight")).alias("w"))
     return summed.where(F.col("w") >= least).select("source", "target", F.log1p("w").alias("weight"))
 
 

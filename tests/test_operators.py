@@ -117,6 +117,14 @@ def test_cooccurrence_keeps_rules(spark):
     assert graph.cooccurrence(df.limit(0)).collect() == []
 
 
+def test_cooccurrence_without_caps_is_whole(spark):
+    links = [(f"h{i}", e, 1.0) for i in range(2501) for e in ("hub", "rim")] + [("long", f"e{i:02}", 1.0) for i in range(45)]
+    df = spark.createDataFrame(links, "passage string, entity string, weight double")
+    got = {(r.source, r.target): round(r.weight, 6) for r in graph.cooccurrence(df).collect()}
+    want = {(f"e{i:02}", f"e{j:02}"): 0.693147 for i in range(45) for j in range(i + 1, 45)}
+    assert got == want | {("hub", "rim"): 7.824846}  # ln(2502)
+
+
 def test_override_cascade(spark):
     units = spark.createDataFrame([("d", "1", "2", "a", "doc"), ("d", "1", "2", "b", "doc"), ("d", "1", "3", None, "doc"), ("d", "2", None, None, "doc")], "document_id string, article string, clause string, point string, valid_from string")
     over = spark.createDataFrame([("d", "1", "2", "a", "p"), ("d", "1", "2", "", "c"), ("d", "1", "", "", None)], "document_id string, article string, clause string, point string, new_from string")
