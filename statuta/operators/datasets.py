@@ -17,6 +17,22 @@ def ngrams(words: Column, low: int, high: int) -> Column:
     return F.concat(*[of_length(k) for k in range(low, high + 1)])
 
 
+def count_ngrams(df: DataFrame, words: str, low: int, high: int, split: int = 16) -> DataFrame:
+    """``ngram, n``: occurrences of every sequence of ``low`` to ``high`` words. What begins
+    at one place are prefixes of the window of ``high`` words there, and all share its first
+    ``low`` words. So only windows are shuffled, by those, and n-grams are formed and
+    counted where they arrive, in ``split`` times the usual partitions: they take several
+    times the memory of their windows."""
+    n = F.size(words)
+    starts = F.when(n >= low, F.sequence(F.lit(1), n - low + 1)).otherwise(F.array().cast("array<int>"))
+    windows = df.select(F.explode(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(high)), " "))).alias("window"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * split
+    placed = windows.select("window", F.substring_index("window", " ", low).alias("head")).repartition(parts, "head")
+    length = F.length("window") - F.length(F.replace("window", F.lit(" "))) + 1
+    prefixes = F.slice(F.array(*[F.substring_index("window", " ", k) for k in range(low, high + 1)]), F.lit(1), length - low + 1)
+    return placed.select("head", F.explode(prefixes).alias("ngram")).groupBy("head", "ngram").agg(F.count(F.lit(1)).alias("n")).select("ngram", "n")
+
+
 def word_chunks(words: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words that share ``overlap``; the last may be shorter; no words, no chunk."""
     n = F.size(words)

@@ -150,6 +150,12 @@ def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.groupBy("ngram").agg(F.count(F.lit(1)).alias("n_questions")).where("n_questions > 1")
 
 
+def sentence_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate mining over the corpus: all sequences of 2 to 14 words of all sentences."""
+    rows = latest(table(spark, sf_dir, "sentences"), "sentence_id", keep=["text"])
+    return ds.count_ngrams(rows.select(tx.tokens(F.col("text")).alias("words")), "words", 2, 14)
+
+
 def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ds.word_chunks(tx.tokens(F.col("text")), 220, 40)).alias("chunk_no", "chunk"))
     return chunks.select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_hash"))
@@ -172,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         citation_extract, citation_prf, mention_dedup, article_resolution, resolver_summary, surface_vocabulary, canonical_rollup, entity_degree, cooccurrence_edges, reference_edges, missing_endpoint_nodes, child_counts,
-        document_register, units_in_force, best_start, passage_sources, sentence_rollup, unit_summary, document_number_matches, unsplit_units, merged_sources, ngram_candidates, chunked_documents, disjoint_split, hybrid_spans,
+        document_register, units_in_force, best_start, passage_sources, sentence_rollup, unit_summary, document_number_matches, unsplit_units, merged_sources, ngram_candidates, sentence_ngrams, chunked_documents, disjoint_split, hybrid_spans,
     )
 }
 
@@ -241,6 +247,8 @@ SELECT source, target, round(ln(1 + w), 6) AS weight FROM p WHERE w >= 0.05""",
         SELECT coalesce(a.document_number, b.document_number) AS document_number, a.document_number IS NOT NULL AS registered, coalesce(n, 0) AS n_documents FROM a FULL JOIN b ON a.document_number = b.document_number""",
     "ngram_candidates": f"""WITH q AS ({_WORDS}), g AS (SELECT DISTINCT question_id, array_to_string(w[i:i + k - 1], ' ') AS ngram FROM (SELECT question_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM q, (VALUES (2), (3), (4)) t(k)))
         SELECT ngram, count(*) AS n_questions FROM g GROUP BY 1 HAVING count(*) > 1""",
+    "sentence_ngrams": f"""WITH q AS (SELECT list_filter(string_split({KEY_SQL('text')}, ' '), lambda w: w <> '') AS w FROM {_latest('sentences', 'sentence_id', 'text')}), g AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS ngram FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM q, (SELECT unnest(range(2, 15)) AS k)))
+        SELECT ngram, count(*) AS n FROM g GROUP BY 1""",
     "chunked_documents": f"""WITH d AS (SELECT doc_id, list_filter(string_split({KEY_SQL('text')}, ' '), lambda w: w <> '') AS w FROM documents)
         SELECT doc_id, i::INTEGER AS chunk_no, md5(array_to_string(w[i * 180 + 1:i * 180 + 220], ' ')) AS chunk_hash
         FROM (SELECT doc_id, w, unnest(range(0, greatest(1, ceil((len(w) - 40) / 180.0)::BIGINT))) AS i FROM d WHERE len(w) > 0)""",

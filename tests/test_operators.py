@@ -179,6 +179,25 @@ def test_chunks_ngrams_and_split(spark):
     assert sum(p.n_rows for p in parts if p.part == "test") <= 40
 
 
+def test_sentence_ngrams_against_brute_force(spark, tmp_path):
+    from statuta.plans import graph_queries
+
+    rng, at = random.Random(3), "2025-01-01"
+    long = " ".join(f"w{i}" for i in range(17))
+    rows = [("a", long, at), ("a", long, at), ("b", "xe", at), ("c", "", at), ("d", None, at), (None, "xe tải", at), ("e", "Xe tải, xe tải", at)]
+    rows += [(f"r{i}", " ".join(rng.choice("abc") for _ in range(rng.randrange(20))), at) for i in range(30)]
+    spark.createDataFrame(rows, "sentence_id string, text string, ingested_at string").write.parquet(f"{tmp_path}/sentences.parquet")
+    want = {}
+    for text in {r[0]: r[1] for r in rows if r[0]}.values():
+        words = (text or "").replace(",", "").lower().replace("ả", "a").split()
+        for i in range(len(words)):
+            for j in range(i + 2, min(len(words), i + 14) + 1):
+                want[" ".join(words[i:j])] = want.get(" ".join(words[i:j]), 0) + 1
+    got = [tuple(r) for r in graph_queries.sentence_ngrams(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert datasets.count_ngrams(spark.createDataFrame([], "w array<string>"), "w", 2, 14).collect() == []
+
+
 def test_prf_is_zero_safe(spark):
     schema = "u string, label string"
     empty = spark.createDataFrame([], schema)
