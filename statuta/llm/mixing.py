@@ -69,9 +69,9 @@ def sizes(counted: DataFrame, targets: DataFrame) -> DataFrame:
     return wanted.join(have, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
 
 
-def plan(sized: list, total_tokens: float | None = None, least_entropy: float | None = None) -> list[tuple]:
+def plan(sized: list, total_tokens: float | None = None, least_entropy: float | None = None, passes: float | None = None) -> list[tuple]:
     """``(source, budget, temperature, blocks)`` of every source that can be drawn from.
-    ``sized`` are the rows of ``sizes``; their number is that of the targets."""
+    ``passes`` wants a total of so many times all their tokens. ``sized`` are the rows of ``sizes``; their number is that of the targets."""
     available = {r.source: float(r.n_tokens) for r in sized if r.n_tokens and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0}
     if not available:
         return []
@@ -79,7 +79,7 @@ def plan(sized: list, total_tokens: float | None = None, least_entropy: float |
     target = {r.source: r.target_share / norm for r in sized if r.source in available}
     caps = {r.source: float(r.n_tokens) * r.max_repeats for r in sized if r.source in available}
     documents = {r.source: r.n_docs for r in sized}
-    total = total_tokens or min(caps[s] / target[s] for s in available)
+    total = total_tokens or (passes or 0) * sum(available.values()) or min(caps[s] / target[s] for s in available)
     x = temperature(available, target, caps, total, least_entropy=least_entropy)
     weights = tempered(available, target, x)
     return [(s, min(w * total, caps[s]), x, max(1, documents[s] // BLOCK_DOCUMENTS)) for s, w in weights.items()]
@@ -107,11 +107,11 @@ def draw(counted: DataFrame, planned: list[tuple], seed: int = 7) -> DataFrame:
     return done.unionByName(last).where("uses > 0")
 
 
-def mix(counted: DataFrame, targets: DataFrame, total_tokens: float | None = None, least_entropy: float | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(counted: DataFrame, targets: DataFrame, total_tokens: float | None = None, least_entropy: float | None = None, seed: int = 7, passes: float | None = None) -> tuple[DataFrame, DataFrame]:
     """The drawn documents and the report of shares. ``counted``: doc_id, source, n_tokens."""
     counted = cut(counted)
     sized = sizes(counted, targets)
-    planned = plan(sized.collect(), total_tokens, least_entropy)  # one row per target
+    planned = plan(sized.collect(), total_tokens, least_entropy, passes)  # one row per target
     drawn = draw(counted, planned, seed)
     spark = counted.sparkSession
     budgets = spark.createDataFrame([(s, b, x) for s, b, x, _ in planned], "source string, budget double, temperature double")

@@ -63,9 +63,9 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, passes: float | None = None) -> tuple[DataFrame, DataFrame]:
     counted = tokens.count_table(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
-    return mixing.mix(counted, table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(counted, table(spark, sf_dir, "mix_targets"), passes=passes)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,17 @@ def p7_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[0]
 
 
+def p7_mix_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p7_mix``, for a total of one pass over the target sources: the temperature is
+    bisected against the caps, and targets that can't be met at that size are reported."""
+    return _mixed(spark, sf_dir, passes=1.0)[1]
+
+
+def p7_drawn_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix of ``p7_mix_pass``."""
+    return _mixed(spark, sf_dir, passes=1.0)[0]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_shares(spark, sf_dir).where(F.col("repeated_share") >= repetition.LEAST_SHARE).select("doc_id")
 
@@ -123,6 +134,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_drawn": p7_drawn,
+    "p7_mix_pass": p7_mix_pass,
+    "p7_drawn_pass": p7_drawn_pass,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_divergence": p8_divergence,

@@ -230,6 +230,22 @@ def test_temperature_respects_caps():
     assert mixing.temperature(have, want, {"a": 900.0, "b": 900.0}, 1000.0) == 0
 
 
+def test_mix_of_a_pass_bisects_the_temperature(spark, tmp_path):
+    from statuta.llm.queries import QUERIES
+
+    docs = [(f"b{i}", "big", f"xe tải số {i}") for i in range(600)] + [(f"s{i}", "small", f"đường bộ {i}") for i in range(20)] + [("o", "other", "xe")]
+    spark.createDataFrame(docs, "doc_id string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("big", 0.5, 1), ("small", 0.4, 3), ("none", 0.1, 2)]
+    spark.createDataFrame(targets, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    rows = {r.source: r for r in QUERIES["p7_mix_pass"](spark, str(tmp_path)).collect()}
+    total = rows["big"].n_tokens + rows["small"].n_tokens
+    assert 0 < rows["small"].temperature < 1 and rows["small"].most_uses == 3 and rows["big"].most_uses == 1
+    assert abs(rows["small"].used_tokens - 3 * rows["small"].n_tokens) < 10 and abs(sum(r.used_tokens for r in rows.values()) - total) < 20
+    assert not rows["small"].met and not rows["none"].met and rows["none"].actual_share == 0
+    uses = QUERIES["p7_drawn_pass"](spark, str(tmp_path)).collect()
+    assert sum(r.uses * r.n_tokens for r in uses) == sum(r.used_tokens for r in rows.values())
+
+
 def test_mix_of_empty_tables(spark):
     counted = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([], "source string, target_share double, max_repeats int")
