@@ -46,6 +46,13 @@ def article_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mn.resolve_articles(_mentions(spark, sf_dir), units)
 
 
+def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of every type against documents, attachments and units."""
+    units = _units(spark, sf_dir, "document_id", "path_text", "unit_type")
+    attachments = latest(table(spark, sf_dir, "attachments"), "attachment_id", keep=["package_id", "attachment_kind", "label", "title", "source_file"])
+    return mn.resolve(_mentions(spark, sf_dir), units, attachments, table(spark, sf_dir, "effectivity_index"))
+
+
 def resolver_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _mentions(spark, sf_dir).select("package_id", F.coalesce("resolution.status", F.lit("UNKNOWN")).alias("status"), "mention_type")
     return rows.groupingSets([[], [F.col("status")], [F.col("mention_type")], [F.col("package_id"), F.col("status")]], "package_id", "status", "mention_type").agg(F.count(F.lit(1)).alias("n"))
@@ -177,7 +184,7 @@ def hybrid_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        citation_extract, citation_prf, mention_dedup, article_resolution, resolver_summary, surface_vocabulary, canonical_rollup, entity_degree, cooccurrence_edges, reference_edges, missing_endpoint_nodes, child_counts,
+        citation_extract, citation_prf, mention_dedup, article_resolution, reference_resolution, resolver_summary, surface_vocabulary, canonical_rollup, entity_degree, cooccurrence_edges, reference_edges, missing_endpoint_nodes, child_counts,
         document_register, units_in_force, best_start, passage_sources, sentence_rollup, unit_summary, document_number_matches, unsplit_units, merged_sources, ngram_candidates, sentence_ngrams, chunked_documents, disjoint_split, hybrid_spans,
     )
 }

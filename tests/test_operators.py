@@ -109,6 +109,26 @@ def test_decisions(spark):
     assert got == {"a": ("ambiguous", "t1"), "b": ("resolved", "t1"), "c": ("ambiguous", "t"), "d": ("unresolved", "t")}
 
 
+def test_every_mention_type_is_resolved(spark):
+    paths = {"d.a5": ("dieu", "Chương 1 > Điều 5"), "d.a5.k2": ("khoan", "Chương 1 > Điều 5 > Khoản 2"), "d.a5.k2.d": ("diem", "Điều 5 > Khoản 2 > Điểm d"), "d.a5.k2.dd": ("diem", "Điều 5 > Khoản 2 > Điểm đ"), "d.a7.k1": ("khoan", "Điều 7 > Khoản 1")}
+    units = spark.createDataFrame([("d", i, *v) for i, v in paths.items()] + [("e", "e.a5", "dieu", "Điều 5")], "document_id string, unit_id string, unit_type string, path_text string")
+    files = [("p", "p.2", "appendix_form", "Phụ lục II", "Danh mục", "p/a.docx"), ("p", "p.m3", "form", "Mẫu số 03", "y", "p/mau_so_03.docx"), ("p", "p.m4", "form", "Mẫu số 4", "y", "p/b"), ("p", "p.m4b", "form", "Mẫu số 04", "y", None), ("o", "o.7", "form", "Mẫu số 07", "y", None)]
+    attachments = spark.createDataFrame(files, "package_id string, attachment_id string, attachment_kind string, label string, title string, source_file string")
+    documents = spark.createDataFrame([("d", "1/2024/TT-BVĐ"), ("e", "2/2024/NĐ-CP"), (None, "3/2024/TT-X")], "document_id string, document_number string")
+    asked = [
+        ("document", "2/2024/NĐ-CP", "Nghị định số 2/2024/NĐ-CP", "e", "resolved"), ("document", "9/2024/NĐ-CP", "Nghị định số 9/2024/NĐ-CP", None, "missing_target"),
+        ("appendix", "II", "Phụ lục II", "p.2", "resolved"), ("appendix", "X", "Phụ lục X", None, "missing_target"),
+        ("form", "3", "Mẫu số 3", "p.m3", "resolved"), ("form", "4", "Mẫu số 4", "p.m4", "ambiguous"), ("form", "07", "Mẫu số 07", None, "unresolved"),
+        ("article", "5", "Điều 5", "d.a5", "resolved"), ("article", "7", "Điều 7", "d.a7.k1", "ambiguous"), ("article", "5", "Điều 5 của 2/2024/NĐ-CP", "e.a5", "resolved"), ("article", "5", "Điều 5 của 9/2024/NĐ-CP", None, "missing_target"),
+        ("clause", "2", "khoản 2 Điều 5", "d.a5.k2", "resolved"), ("clause", "2", "khoản 2 Điều này", "d.a5.k2", "resolved"), ("clause", "9", "khoản 9 Điều 5", None, "unresolved"),
+        ("point", "đ", "điểm đ khoản 2 Điều 5", "d.a5.k2.dd", "resolved"), ("point", "d", "điểm d khoản 2 Điều 5", "d.a5.k2.d", "resolved"), (None, None, None, None, "unresolved"),
+    ]
+    rows = [(f"m{i:02}", kind, "p", "d", label, raw, "Điều 5 > Khoản 1") for i, (kind, label, raw, _, _) in enumerate(asked)]
+    df = spark.createDataFrame(rows, "mention_id string, mention_type string, package_id string, document_id string, label string, raw string, source_path_text string")
+    got = {r.mention_id: (r.target, r.status) for r in mentions.resolve(df, units, attachments, documents).collect()}
+    assert got == {f"m{i:02}": (target, status) for i, (_, _, _, target, status) in enumerate(asked)}
+
+
 def test_cooccurrence_keeps_rules(spark):
     links = [("p", "a", 1.0), ("p", "b", 2.0), ("p", "b", 1.0), ("p", "zero", 0.0), ("r", "a", 0.01), ("r", "b", 5.0), *[(f"h{i}", "hub", 1.0) for i in range(5)], ("p", "hub", 1.0)]
     df = spark.createDataFrame(links, "passage string, entity string, weight double")
