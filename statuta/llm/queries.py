@@ -90,7 +90,8 @@ def p7_drawn_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_shares(spark, sf_dir).where(F.col("repeated_share") >= repetition.LEAST_SHARE).select("doc_id")
+    """By divergence from the language at the text's length; what stands out is counted."""
+    return repetition.found(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,7 +258,7 @@ def plain_share(text):
     words = text.lower().split()
     hit = [False] * len(words)
     for i in range(len(words)):
-        for n in range(1, repetition.STUTTER + 1):
+        for n in range(1, repetition.WORDS):
             if i >= 2 * n - 1 and words[i - n + 1 : i + 1] == words[i - 2 * n + 1 : i - n + 1]:
                 for j in range(i - n + 1, i + 1):
                     hit[j] = True
@@ -275,6 +275,48 @@ def test_repetition_against_brute_force(words):
     assert repetition.repeated(" ".join(words)) == plain_share(" ".join(words))
 
 
+def test_short_phrases_count():
+    five = "mot hai ba bon nam"
+    assert repetition.repeated(f"{five} {five}") == (len(five) - 4, 2 * (len(five) - 4))
+    scattered = repetition.repeated(f"{five} xe tai {five} duong bo {five}")
+    assert scattered[0] == 2 * (len(five) - 4)
+    assert repetition.repeated("a b c d a b c d")[0] == 4
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["xe ", "đi ", "路", "車", "線"]), max_size=40))
+def test_mixed_scripts_cover_maximal_repeats(parts):
+    tokens, bounds, dense = repetition._tokens("".join(parts))
+    weight = [repetition._weight(t) for t in tokens]
+    hit = [False] * len(tokens)
+    for i in range(len(tokens)):
+        for j in range(i):
+            n = 0
+            while i + n < len(tokens) and tokens[i + n] == tokens[j + n]:
+                n += 1
+            if sum(weight[i : i + n]) >= repetition.WORDS * 8:
+                hit[i : i + n] = [True] * n
+    for step in range(1, 8 if dense else repetition.WORDS):
+        for i in range(step, len(tokens) - step + 1):
+            if tokens[i : i + step] == tokens[i - step : i]:
+                hit[i : i + step] = [True] * step
+    assert repetition._repeated(tokens, bounds, dense)[0] == sum(len(t) for t, h in zip(tokens, hit) if h)
+
+
+def test_divergence_finds_what_repeats(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "bcdghklmnprstvx" for b in ("a", "e", "i", "o", "u", "an", "en", "in", "on", "un")]
+    usual = [(i, " ".join(rng.choice(words) for _ in range(60)) + ".", "vi") for i in range(60)]
+    phrase = " ".join(rng.choice(words) for _ in range(12)) + ". "
+    df = spark.createDataFrame([*usual, (100, phrase * 5, "VI"), (101, "đi đi đi đi đi đi", "vi"), (102, None, None), (103, "", "vi"), (None, phrase * 5, "vi")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in repetition.found(df, "doc_id", "text", "lang").collect()} == {100, 101}
+    excess = {r.doc_id: r.word_excess for r in repetition.divergence(df, "doc_id", "text", "lang").collect()}
+    assert excess[100] >= repetition.WORD_EXCESS and excess[101] is None and excess[102] is None and len(excess) == 64
+    assert repetition.found(df.limit(0), "doc_id", "text", "lang").collect() == []
+
+
 def test_repeats_may_differ_in_dress():
     a, n = repetition.repeated("1. Cấm rẽ trái. 2. CẤM  RẼ TRÁI! 3) cấm rẽ trái")
     assert a * 3 == n * 2
