@@ -63,13 +63,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _mixed(spark: SparkSession, sf_dir: str, passes: float | None = None) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     counted = tokens.count_table(table(spark, sf_dir, "documents"), ["doc_id", "source"], "text")
-    return mixing.mix(counted, table(spark, sf_dir, "mix_targets"), passes=passes)
+    return mixing.mix(counted, table(spark, sf_dir, "mix_targets"), exact=exact)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares reached, per target source."""
+    """The shares reached, per target source, in a mix of one pass over their tokens."""
     return _mixed(spark, sf_dir)[1]
 
 
@@ -78,15 +78,14 @@ def p7_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[0]
 
 
-def p7_mix_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``p7_mix``, for a total of one pass over the target sources: the temperature is
-    bisected against the caps, and targets that can't be met at that size are reported."""
-    return _mixed(spark, sf_dir, passes=1.0)[1]
+def p7_mix_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the largest total at which no source with documents misses its target."""
+    return _mixed(spark, sf_dir, exact=True)[1]
 
 
-def p7_drawn_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of the mix of ``p7_mix_pass``."""
-    return _mixed(spark, sf_dir, passes=1.0)[0]
+def p7_drawn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix of ``p7_mix_exact``."""
+    return _mixed(spark, sf_dir, exact=True)[0]
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +134,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_drawn": p7_drawn,
-    "p7_mix_pass": p7_mix_pass,
-    "p7_drawn_pass": p7_drawn_pass,
+    "p7_mix_exact": p7_mix_exact,
+    "p7_drawn_exact": p7_drawn_exact,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_divergence": p8_divergence,

@@ -211,7 +211,7 @@ def test_mix_meets_targets_and_caps(spark):
     docs = [(i, "big", 10 + i % 7) for i in range(5000)] + [(10_000 + i, "small", 20) for i in range(50)] + [(20_000, None, 5), (20_001, "other", 5), (20_002, "small", 0)]
     counted = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 4), ("small", 0.3, 4), ("none", 0.1, 5), (None, 0.0, 1)], "source string, target_share double, max_repeats int")
-    drawn, report = mixing.mix(counted, targets)
+    drawn, report = mixing.mix(counted, targets, exact=True)
     rows = {r.source: r for r in report.collect()}
     uses = drawn.collect()
     assert max(r.uses for r in uses if r.source == "small") <= 4 and max(r.uses for r in uses if r.source == "big") == 1
@@ -222,28 +222,41 @@ def test_mix_meets_targets_and_caps(spark):
         assert rows[s].used_tokens == sum(r.uses * r.n_tokens for r in uses if r.source == s) <= rows[s].budget + 1e-6
 
 
-def test_temperature_respects_caps():
-    have, want = {"a": 900.0, "b": 100.0}, {"a": 0.2, "b": 0.8}
-    x = mixing.temperature(have, want, {"a": 900.0, "b": 200.0}, 1000.0)
-    weights = mixing.tempered(have, want, x)
-    assert 0 < x < 1 and abs(weights["b"] * 1000 - 200) < 1e-6
-    assert mixing.temperature(have, want, {"a": 900.0, "b": 900.0}, 1000.0) == 0
+def test_exponent_respects_caps():
+    have, caps = {"a": 900.0, "b": 100.0, "c": 300.0}, {"a": 1800.0, "b": 200.0, "c": 330.0}
+    got, x, even = mixing.fill({"a": 400.0, "b": 200.0, "c": 300.0}, have, caps, 1000.0)
+    assert 0 < x <= 1 and even is None and abs(sum(got.values()) - 1000) < 1e-6 and got["c"] <= 330 * (1 + 1e-9) and got["b"] == 200
+    assert abs(got["c"] - 330) < 1e-6  # the least exponent that fits
+    assert mixing.fill({"a": 400.0, "b": 200.0, "c": 300.0}, have, caps, 950.0)[1] == 0
+    full = mixing.fill({"a": 400.0, "b": 200.0, "c": 300.0}, have, caps, 5000.0)[0]
+    assert full == caps  # nothing more to give
+
+
+def test_entropy_is_met_or_reported():
+    have = {"a": 9000.0, "b": 1000.0}
+    caps = {s: 9 * n for s, n in have.items()}
+    got, x, even = mixing.fill({"a": 100.0, "b": 100.0}, have, caps, 2000.0, least_entropy=0.5)
+    assert even and 0 < x < 1 and abs(mixing.entropy(got) - 0.5) < 1e-6
+    got, x, even = mixing.fill({"a": 1000.0, "b": 1.0}, have, caps, 1010.0, least_entropy=0.69)
+    assert even is False and x == 0  # the most even mix there is
 
 
-def test_mix_of_a_pass_bisects_the_temperature(spark, tmp_path):
+def test_mix_of_a_pass_bisects_the_exponent(spark, tmp_path):
     from statuta.llm.queries import QUERIES
 
-    docs = [(f"b{i}", "big", f"xe tải số {i}") for i in range(600)] + [(f"s{i}", "small", f"đường bộ {i}") for i in range(20)] + [("o", "other", "xe")]
+    docs = [(f"b{i}", "big", f"xe tải số {i}") for i in range(600)] + [(f"m{i}", "mid", f"cầu đường {i}") for i in range(200)] + [(f"s{i}", "small", f"đường bộ {i}") for i in range(20)] + [("o", "other", "xe")]
     spark.createDataFrame(docs, "doc_id string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    targets = [("big", 0.5, 1), ("small", 0.4, 3), ("none", 0.1, 2)]
+    targets = [("big", 0.35, 2), ("mid", 0.15, 1), ("small", 0.4, 3), ("none", 0.1, 2)]
     spark.createDataFrame(targets, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
-    rows = {r.source: r for r in QUERIES["p7_mix_pass"](spark, str(tmp_path)).collect()}
-    total = rows["big"].n_tokens + rows["small"].n_tokens
-    assert 0 < rows["small"].temperature < 1 and rows["small"].most_uses == 3 and rows["big"].most_uses == 1
-    assert abs(rows["small"].used_tokens - 3 * rows["small"].n_tokens) < 10 and abs(sum(r.used_tokens for r in rows.values()) - total) < 20
-    assert not rows["small"].met and not rows["none"].met and rows["none"].actual_share == 0
-    uses = QUERIES["p7_drawn_pass"](spark, str(tmp_path)).collect()
+    rows = {r.source: r for r in QUERIES["p7_mix"](spark, str(tmp_path)).collect()}
+    total = sum(rows[s].n_tokens for s in ("big", "mid", "small"))
+    assert 0 < rows["big"].temperature < 1 and rows["small"].most_uses == 3 and rows["mid"].most_uses == 1
+    assert abs(rows["small"].used_tokens - 3 * rows["small"].n_tokens) < 10 and abs(sum(r.used_tokens for r in rows.values()) - total) < 30
+    assert rows["big"].met and rows["mid"].met and not rows["small"].met and not rows["none"].met and rows["none"].actual_share == 0
+    uses = QUERIES["p7_drawn"](spark, str(tmp_path)).collect()
     assert sum(r.uses * r.n_tokens for r in uses) == sum(r.used_tokens for r in rows.values())
+    exact = {r.source: r for r in QUERIES["p7_mix_exact"](spark, str(tmp_path)).collect()}
+    assert abs(exact["small"].actual_share - 0.4 / 0.9) < 0.02 and exact["small"].met and exact["big"].met and exact["mid"].met
 
 
 def test_mix_of_empty_tables(spark):
