@@ -1,8 +1,10 @@
 """Text read in a wrong character encoding: finding it and restoring it.
 
-1. Adjacent character pairs of all records are counted (``pair_counts``). Records in
-   which symbols stand between letters, or control or replacement characters occur,
-   don't vote; otherwise frequent kinds of damage would look normal.
+1. Adjacent character pairs of all records are counted (``pair_counts``). Characters only
+   damage leaves (replacement and control characters, question marks inside words, the
+   no-break space that was half a letter) are a class of their own. Records that hold it,
+   or symbols between letters, don't vote; otherwise frequent kinds of damage would look
+   normal.
 2. A pair's score is its mutual information, log2 of its count over the count
    expected from its characters, with a floor that keeps rare characters from
    scoring high (``Model``).
@@ -11,8 +13,8 @@
 4. Inverse mappings, from the encoding a text was read in to the one it was written
    in, are tested only inside those runs, up to three deep. A mapping counts if the
    result is much more probable than what stood there.
-5. What was lost can't be mapped back; runs with replacement characters, control
-   characters or question marks inside words are found but left as they are.
+5. What was lost can't be mapped back: a run that still holds the class of damage is
+   found but left as it is. Every record that is found has an improbable run.
 
 The pair table has at most CLASSES squared cells whatever the size of the corpus, so
 it may be sent to every executor. Null, empty and blank texts are never found.
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from statuta.llm.texts import points, slices
 
 CLASSES = 2048
+#: The class of what only damage leaves.
+MARK = CLASSES - 1
 #: Pairs expected less often than this share of all pairs are treated as expected so often.
 FLOOR = 1e-6
 #: Bits a run must be improbable by, and bits a mapping must gain.
@@ -119,7 +123,9 @@ def _class_table() -> np.ndarray:
     for cp in (*range(0x21), 0xA0, 0x3000, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F):
         table[cp] = 0
     table[0xA0] = used  # a no-break space is a byte of many garbled letters
-    assert used < CLASSES
+    table[0x80:0xA0] = MARK
+    table[0xFFFD] = MARK
+    assert used < MARK
     return table
 
 
@@ -156,6 +162,50 @@ def _doubtful(small: np.ndarray, letter: np.ndarray, symbol: np.ndarray, damage:
     return is_symbol & left & right | doubled & (small > 0x7F) | after_letter | quoted | damage[small]
 
 
+_OPENERS = frozenset(map(ord, " \t\n\r\x0b\x0c(“\"|")) | {0x85, 0xA0, 0x2028, 0x2029, 0x3000}
+_HIDDEN_CPS = frozenset([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+
+
+def _mark(small: np.ndarray, offsets: np.ndarray, cls: np.ndarray, skip: list[tuple[int, int]] = ()) -> np.ndarray:
+    """``cls`` with MARK for question marks inside or before words (a letter on the right,
+    and several of them, a letter that isn't followed by a capital, or an opener on the
+    left) and for the no-break space after a capital A with tilde beside a small letter.
+    Characters that aren't seen don't separate; places in ``skip`` are left alone."""
+    letter = tables()[1]
+    asked = np.flatnonzero(small == 0x3F)
+    half = np.flatnonzero((small[1:] == 0xA0) & (small[:-1] == 0xC3)) + 1
+    if not asked.size and not half.size:
+        return cls
+    cls = cls.copy()
+    done = -1
+    for p in asked.tolist():
+        if p <= done:
+            continue
+        i = int(np.searchsorted(offsets, p, side="right")) - 1
+        low, high = int(offsets[i]), int(offsets[i + 1])
+        left, right, run = p - 1, p + 1, [p]
+        while left >= low and int(small[left]) in _HIDDEN_CPS:
+            left -= 1
+        while right < high and (small[right] == 0x3F or int(small[right]) in _HIDDEN_CPS):
+            if small[right] == 0x3F:
+                run.append(right)
+            right += 1
+        done = run[-1]
+        if right >= high or not letter[small[right]] or any(a <= p < b for a, b in skip):
+            continue
+        before = int(small[left]) if left >= low else 0x20
+        capital = 0x41 <= small[right] <= 0x5A or small[right] == 0x110
+        if len(run) > 1 or before in _OPENERS or (letter[before] and not capital):
+            cls[run] = MARK
+    for p in half.tolist():
+        i = int(np.searchsorted(offsets, p, side="right")) - 1
+        low, high = int(offsets[i]), int(offsets[i + 1])
+        small_left = p - 2 >= low and chr(small[p - 2]).islower()
+        if p - 1 >= low and (small_left or (p + 1 < high and 0x61 <= small[p + 1] <= 0x7A)):
+            cls[p] = MARK
+    return cls
+
+
 def pair_counts(texts: DataFrame) -> DataFrame:
     """``pair, n``: pairs of character classes in the records that may vote; ``texts``
     has one string column. Counted per task in a dense array, then summed."""
@@ -170,11 +220,11 @@ def pair_counts(texts: DataFrame) -> DataFrame:
                 if cps.size < 2:
                     continue
                 small = np.where(cps < 0x10000, cps, 0xFFF0)
-                bad = np.concatenate([[0], np.cumsum(_doubtful(small, letter, symbol, damage))])
+                cls = _mark(small, offsets, classes[small])
+                bad = np.concatenate([[0], np.cumsum(_doubtful(small, letter, symbol, damage) | (cls == MARK))])
                 votes = np.repeat(bad[offsets[1:]] == bad[offsets[:-1]], np.diff(offsets))
                 owner_end = np.zeros(cps.size, bool)
                 owner_end[offsets[1:][np.diff(offsets) > 0] - 1] = True
-                cls = classes[small]
                 use = votes[:-1] & ~owner_end[:-1]
                 total += np.bincount((cls[:-1] * CLASSES + cls[1:])[use], minlength=total.size)
         pairs = np.flatnonzero(total)
@@ -231,11 +281,18 @@ class Model:
 
     def text_scores(self, text: str) -> np.ndarray:
         """Quarter bits of each pair of a text, its edges counting as white space."""
-        cps = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        cls = tables()[0][np.where(cps < 0x10000, cps, 0xFFF0)]
+        cls = text_classes(f" {text} ")
         return self.scores[cls[:-1] * CLASSES + cls[1:]].astype(np.int64)
 
 
+def text_classes(text: str) -> np.ndarray:
+    """Classes of a text's characters; question marks of links are usual ones."""
+    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    small = np.where(cps < 0x10000, cps, 0xFFF0).astype(np.int64)
+    links = [m.span() for m in _LINK.finditer(text)] if "?" in text else []
+    return _mark(small, np.array([0, small.size]), tables()[0][small], links)
+
+
 def segments(weights: list[int], least: float) -> list[tuple[int, int, int]]:
     """All maximal scoring segments (start, end, sum) with at least ``least``, by the
     linear-time method of Ruzzo and Tompa."""
@@ -277,11 +334,8 @@ def _inverse(piece: str, wrong: str, right: str) -> str | None:
 
 _UTF8_READ_AS = WRONG["utf-8"]
 _OTHERS = [(w, r) for r, ws in WRONG.items() if r != "utf-8" for w in ws]
-_LOST = re.compile(r"[^\W\d_]\?[^\W\d_A-ZĐ]|(?:^|[\s(“\"|])\?+[^\W\d_]|\?\?+[^\W\d_]|[^\W\d_]\?\?+[^\W\d_?]")
 _LINK = re.compile(r"\S*(?:://|www\.|@|\?[^\W\d_]+=)\S*")
 _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
-#: A letter whose second byte was read as a no-break space.
-_HALF = re.compile("[a-zà-ỹđ]Ã\xa0|Ã\xa0(?=[a-z])")
 _SPACES = re.compile(r"([ \n\r\t]+)")
 _EDGE = " \n\r\t"
 
@@ -411,8 +465,7 @@ def _pieces(text: str, model: Model) -> list[list[int]]:
     """Improbable runs, widened to whole words and merged where they touch."""
     weights = (-model.text_scores(text)).tolist()
     pieces: list[list[int]] = []
-    runs = segments(weights, RUN_BITS * 4) + [(m.start() + 1, m.end(), 0) for m in _HALF.finditer(text)]
-    for a, b, _ in sorted(runs):  # pair i joins characters i-1 and i
+    for a, b, _ in sorted(segments(weights, RUN_BITS * 4)):  # pair i joins characters i-1 and i
         low, high = max(a - 1, 0), min(b, len(text))
         while low > 0 and text[low - 1] not in _EDGE:
             low -= 1
@@ -425,18 +478,21 @@ def _pieces(text: str, model: Model) -> list[list[int]]:
     return pieces
 
 
+def _marked(text: str) -> bool:
+    return bool((text_classes(f" {text} ") == MARK).any())
+
+
 def repair(text: str, model: Model, find_only: bool = False) -> tuple[bool, bool, str]:
     """Whether the text is garbled, whether all of it could be restored, and the text with
     what could be restored. With ``find_only`` the search ends at the first proof."""
-    lost = any(c == "�" or "\x80" <= c < "\xa0" for c in text)
-    asked = "?" in text and bool(_LOST.search(_LINK.sub(" ", text.translate(_HIDDEN))))
-    if find_only and (lost or asked):
-        return True, False, text
     out, at, mapped, left_over = [], 0, False, False
     used: set[tuple[str, str]] = set()
     _, letter, symbol, damage = tables()
     for low, high in _pieces(text, model):
         piece = text[low:high]
+        marked = _marked(piece)
+        if marked and find_only:
+            return True, False, text
         plain = _disguised(piece)
         undone = _bits(model, plain)[0] - _bits(model, piece)[0] if plain != piece else 0.0
         if undone > 0 and not _undo_words(piece, model)[1] and not _pieces(plain, model):
@@ -444,6 +500,8 @@ def repair(text: str, model: Model, find_only: bool = False) -> tuple[bool, bool
         better, gain = restore_piece(piece, model, undone, used)
         if gain > 0:
             mapped = True
+        elif marked:
+            left_over = True
         elif -_bits(model, plain)[0] >= LOST_BITS:
             cps = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
             if _doubtful(np.where(cps < 0x10000, cps, 0xFFF0).astype(np.int64), letter, symbol, damage).sum() >= LOST_SYMBOLS:
@@ -455,19 +513,17 @@ def repair(text: str, model: Model, find_only: bool = False) -> tuple[bool, bool
     fixed = "".join(out) + text[at:]
     if used:
         fixed = "".join(_follow(w, model, used) for w in _SPACES.split(fixed))
-    still = any(c == "�" or "\x80" <= c < "\xa0" for c in fixed)
-    return lost or asked or mapped or left_over, (mapped or lost) and not (still or asked or left_over), fixed
+    return mapped or left_over, mapped and not left_over and not _marked(fixed), fixed
 
 
 def suspects(values: list[str], model: Model) -> np.ndarray:
-    """Which texts have an improbable run, or characters only damage leaves."""
-    classes, letter, symbol, damage = tables()
+    """Which texts have an improbable run."""
     cps, offsets = points(values)
     flagged = np.zeros(len(values), bool)
     if not cps.size:
         return flagged
     small = np.where(cps < 0x10000, cps, 0xFFF0)
-    cls = classes[small]
+    cls = _mark(small, offsets, tables()[0][small])
     filled = np.flatnonzero(np.diff(offsets))
     weight = np.zeros(cps.size, np.int64)  # of the pair that ends at the position
     weight[1:] = -model.scores[cls[:-1] * CLASSES + cls[1:]].astype(np.int64)
@@ -479,12 +535,6 @@ def suspects(values: list[str], model: Model) -> np.ndarray:
     base = np.minimum.accumulate(np.concatenate([[0], climb[:-1]]) + reset)
     run = climb - base
     flagged[filled] = np.maximum.reduceat(run, heads) >= RUN_BITS * 4
-    special = damage[small] | (small == 0x3F)
-    special[1:] |= (small[1:] == 0xA0) & (small[:-1] == 0xC3)
-    special = np.flatnonzero(special)
-    if special.size:
-        owner = np.searchsorted(offsets, special, side="right") - 1
-        flagged[owner] = True
     return flagged
 
 
