@@ -166,6 +166,20 @@ def test_own_script_is_no_disguise(text):
     assert not scripts.disguised(text)
 
 
+@pytest.mark.parametrize("text", ["МОСКВА", "САМ НЕ ТО", "ışık", "Þór Ðað", "kΩ và μm", "cosφ", "και ο νόμος", "CT検査", "❤️ xe 👩‍👩‍👧"])
+def test_letters_of_a_language_are_kept(text):
+    assert not scripts.disguised(text) and scripts.normalize(text) == text
+
+
+@pytest.mark.parametrize(
+    "given_, plain",
+    [("ρaypal", "paypal"), ("αpple", "apple"), ("ꓮpple", "Apple"), ("xе\U000e0041 máy", "xe máy"), ("a\u2800b", "a b"), ("Dıe Wache", "Die Wache"), ("Москва. Mocква", "Москва. Москва"), ("Яndex", "Яndex"), ("Москва COCHA сосна", "Москва СОСНА сосна"), ("сосна COCHA", "сосна COCHA"), ("в СОСНУ, COCНУ", "в СОСНУ, СОСНУ")],
+)
+def test_resolved_script_sets(given_, plain):
+    assert scripts.normalize(given_) == plain
+    assert scripts.disguised(given_) == (given_ != plain or given_ == "Яndex")
+
+
 def test_decomposed_hangul_and_kana():
     import unicodedata
 
