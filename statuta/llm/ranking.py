@@ -9,9 +9,9 @@ percentile 0 throughout and rank 1. Copies of a row count once; if copies differ
 the larger value of each component holds. Rows without question or passage id are
 left out; an empty table gives no rows; extra columns are not read.
 
-A question may hold any share of all rows: ranks are computed on range partitions
-of (question, component, value) with the counts of the partitions before added, so
-no task ever sees a whole hot question.
+A question may hold any share of all rows: the distinct values with their counts are
+ranked on range partitions of (question, component, value), with the counts of the
+partitions before added, so no task ever sees a whole hot question or a hot value.
 """
 
 from __future__ import annotations
@@ -34,24 +34,23 @@ def components(df: DataFrame, group: str, item: str, scores: str, names: tuple[s
 
 
 def percentiles(scored: DataFrame) -> DataFrame:
-    """``q, item, own``: each item's percentiles, ascending."""
+    """``q, item, own``: each item's percentiles, ascending. Values are counted on the map
+    side first, so a value that a whole question shares is one row; the distinct values are
+    ranked in range partitions and joined back to the items (AQE splits frequent ones)."""
     names = [c for c in scored.columns if c not in ("q", "item")]
-    scored = cut(scored)
-    sizes = scored.groupBy("q").agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in names])
-    melted = scored.select("q", "item", F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("value")) for c in names])).alias("s"))
-    found = melted.where(F.col("s.value").isNotNull()).select("q", "item", "s.component", "s.value")
-    # the partition numbers must not change between the two branches that use them
-    ranged = cut(found.repartitionByRange("q", "component", "value").withColumn("part", F.spark_partition_id()))
-    inside = ranged.withColumn("below", F.rank().over(Window.partitionBy("part", "q", "component").orderBy("value")) - 1)
-    counts = ranged.groupBy("q", "component", "part").agg(F.count(F.lit(1)).alias("k"))
-    before = counts.withColumn("offset", F.sum("k").over(Window.partitionBy("q", "component").orderBy("part")) - F.col("k")).drop("k")
-    placed = inside.join(before, ["q", "component", "part"]).select("q", "item", F.struct("component", (F.col("below") + F.col("offset")).alias("rank")).alias("r"))
-    ranks = scored.select("q", "item").join(placed.groupBy("q", "item").agg(F.collect_list("r").alias("rs")), ["q", "item"], "left")
-    whole = ranks.join(sizes, "q")
-    missing = F.create_map(*[x for c in names for x in (F.lit(c), F.col("n") - F.col(f"n_{c}"))])
-    given = F.transform(F.coalesce("rs", F.array()), lambda r: F.when(F.col("n") > 1, (r["rank"] + missing[r["component"]]) / (F.col("n") - 1)).otherwise(F.lit(0.0)))
-    zeros = F.array_repeat(F.lit(0.0), F.lit(len(names)) - F.size(given))
-    return whole.select("q", "item", F.sort_array(F.concat(zeros, given)).alias("own"))
+    melted = scored.select("q", "item", F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("value")) for c in names])).alias("s")).select("q", "item", "s.component", "s.value")
+    counted = melted.groupBy("q", "component", "value").agg(F.count(F.lit(1)).alias("k"))
+    # the partition numbers must not change between the branches that use them; nulls come first
+    ranged = cut(counted.repartitionByRange("q", "component", F.col("value").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
+    upto = Window.partitionBy("part", "q", "component").orderBy(F.col("value").asc_nulls_first())
+    inside = ranged.withColumn("below", F.sum("k").over(upto) - F.col("k"))
+    sums = ranged.groupBy("q", "component", "part").agg(F.sum("k").alias("k"))
+    group = Window.partitionBy("q", "component")
+    before = sums.select("q", "component", "part", (F.sum("k").over(group.orderBy("part")) - F.col("k")).alias("offset"), F.sum("k").over(group).alias("n"))
+    share = F.when(F.col("n") > 1, (F.col("below") + F.col("offset")) / (F.col("n") - 1)).otherwise(F.lit(0.0))
+    ranks = inside.where("value is not null").join(before, ["q", "component", "part"]).select("q", "component", "value", share.alias("share"))
+    placed = melted.join(ranks, ["q", "component", "value"], "left")
+    return placed.groupBy("q", "item").agg(F.sort_array(F.collect_list(F.coalesce("share", F.lit(0.0)))).alias("own"))
 
 
 def best(ranked: DataFrame, k: int) -> DataFrame:
