@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from statuta.operators.bitmaps import Bitmap
 
+#: Keys and months a range holds on average; a range is one task's work.
+RANGE_ROWS = 500_000
 ORPHAN_SCHEMA = "space string, target_key string, orphan_kind string, target_first timestamp"
 
 
@@ -49,18 +51,24 @@ def targets(df: DataFrame, space: str, key: str, arrived: str = "ingested_at", d
     )
 
 
-def orphan_keys(refs: DataFrame, parents: DataFrame, ranges: int | None = None) -> DataFrame:
+def ranges_for(*tables: DataFrame) -> int:
+    """Ranges for so many source rows (counted from the files' footers), at least as many as
+    there are shuffle partitions."""
+    rows = sum(t.count() for t in tables)
+    return max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+
+
+def orphan_keys(refs: DataFrame, parents: DataFrame, ranges: int) -> DataFrame:
     """The keys with at least one orphan reference, by kind. A ``late`` key is a
-    candidate: its records are compared with the exact arrival time afterwards."""
-    spark = refs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    candidate: its records are compared with the exact arrival time afterwards. Each range
+    of the key hash is one partition, placed by its number."""
     month = lambda c: F.year(c) * 12 + F.month(c)
     wanted = refs.groupBy("space", "target_key", month("first_at").alias("period")).agg(F.min("first_at").alias("ref_first"))
     rows = wanted.select("space", "target_key", "period", F.lit(True).alias("is_ref"), F.lit(None).cast("timestamp").alias("target_first"), F.lit(False).alias("gone")).unionByName(
         parents.select("space", "target_key", month("target_first").alias("period"), F.lit(False).alias("is_ref"), "target_first", "gone")
     )
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("space", "target_key"), F.lit(ranges)).cast("int")).repartition(ranges, "bucket")
-    return placed.mapInPandas(_and_not, ORPHAN_SCHEMA)
+    number = F.pmod(F.xxhash64("space", "target_key"), F.lit(ranges)).cast("int")
+    return rows.repartitionById(ranges, number).mapInPandas(_and_not, ORPHAN_SCHEMA)
 
 
 def _and_not(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,11 +83,16 @@ def _and_not(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     period = rows["period"].fillna(0).to_numpy(np.int64)
     exists, deleted = Bitmap.of(ids[~is_ref]), Bitmap.of(ids[~is_ref & gone])
     missing, removed, late = Bitmap({}), Bitmap({}), Bitmap({})
-    for p in np.unique(period[is_ref]):
-        referred = Bitmap.of(ids[is_ref & (period == p)])
+    # months backwards, so that each arrival enters the bitmap of later ones once
+    order = np.argsort(period, kind="stable")[::-1]
+    cuts = np.flatnonzero(np.diff(period[order])) + 1
+    not_before = Bitmap({})
+    for at in np.split(order, cuts):
+        own = is_ref[at]
+        not_before |= Bitmap.of(ids[at[~own]])
+        referred = Bitmap.of(ids[at[own]])
         missing |= referred.and_not(exists)
         removed |= referred & deleted
-        not_before = Bitmap.of(ids[~is_ref & (period >= p)])
         late |= (referred & not_before).and_not(deleted)
     first = pd.Series(rows["target_first"].to_numpy()[~is_ref], index=ids[~is_ref])
     for kind, bits in (("missing", missing), ("deleted", removed), ("late", late)):
@@ -90,7 +103,7 @@ def _and_not(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"space": parts[0], "target_key": parts[1], "orphan_kind": kind, "target_first": when})
 
 
-def orphans(refs: DataFrame, parents: DataFrame, ranges: int | None = None) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, ranges: int) -> DataFrame:
     """Every orphan reference: ``src_table, src_field, record_id, target_key,
     orphan_kind, period``, the kind being the first of missing, deleted, late that
     holds. Empty inputs give no rows; repeated rows of a record count once; extra

@@ -11,7 +11,7 @@ from statuta.session import table
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     units, mentions = table(spark, sf_dir, "units"), table(spark, sf_dir, "ref_mentions")
     parents = op.corpus_targets(units, table(spark, sf_dir, "attachments"), table(spark, sf_dir, "effectivity_index"))
-    return op.orphans(op.corpus_references(units, mentions), parents)
+    return op.orphans(op.corpus_references(units, mentions), parents, op.ranges_for(units, mentions))
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
