@@ -11,21 +11,57 @@ from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
-def _fold_map() -> tuple[str, str]:
-    """Characters with marks, and others that canonically begin with a plain ASCII one, and that one."""
-    pairs = {}
-    for cp in (*range(0xC0, 0xD800), *range(0xF900, 0x10000)):
-        base = unicodedata.normalize("NFD", chr(cp))[0]
-        if base.isascii() and base != chr(cp):
-            pairs[chr(cp)] = base
-    pairs |= {"đ": "d", "Đ": "D"}
-    return "".join(pairs), "".join(pairs.values())
+def _fold_maps() -> tuple[dict[str, str], dict[str, str]]:
+    """What characters become when decomposed (NFKD) and reduced to ASCII: those that
+    become one character, and those that become several."""
+    one, several = {"đ": "d", "Đ": "D"}, {}
+    for cp in (*range(0xA0, 0xD800), *range(0xF900, 0x10000)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if c.isascii())
+        if len(plain) == 1:
+            one[chr(cp)] = plain
+        elif plain and not 0xAC00 <= cp < 0xD7A4:
+            several[chr(cp)] = plain
+    return one, several
+
+
+def _class(chars) -> str:
+    """A character class of ranges; long lists of single characters are slow to match."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" if b > a else chr(a) for a, b in runs) + "]"
 
 
 def fold(col: Column) -> Column:
-    """Lower case without accents (đ as d); characters outside ASCII are dropped."""
-    marked, plain = _fold_map()
-    return F.regexp_replace(F.translate(F.lower(col), marked, plain), r"[^\x00-\x7F]", "")
+    """Lower case without accents (đ as d) and with compatibility forms resolved (ﬁ as fi,
+    ½ as 12, full width as plain); other characters outside ASCII are dropped."""
+    one, several = _fold_maps()
+    low = F.lower(col)
+    usual = {c: p for c, p in several.items() if c in _USUAL}
+    plain = low
+    for c, p in usual.items():
+        plain = F.replace(plain, F.lit(c), F.lit(p))
+    low = F.when(low.rlike(_class(usual)), plain).otherwise(low)
+    # rare: only texts that hold such a character are taken apart
+    rest = {c: p for c, p in several.items() if c not in _USUAL}
+    each = F.create_map(*[F.lit(x) for pair in rest.items() for x in pair])
+    apart = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(each[c], c)), "")
+    beyond = "[\\x{180}-\\x{24F}ĲĳĿŀŉ]|[^\\x{0}-\\x{24F}\\x{300}-\\x{36F}\\x{1E00}-\\x{1EFF}\\x{2010}-\\x{201F}]"  # quick to tell
+    low = F.when(low.rlike(beyond) & low.rlike(_class(rest)), apart).otherwise(low)
+    return F.lower(F.regexp_replace(F.translate(low, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", ""))
+
+
+#: Characters of several that occur in ordinary text: fractions, dots, signs, ligatures, numerals.
+_USUAL = frozenset("¼½¾…‥™№℃℉⅓⅔⅛⅜⅝⅞ﬀﬁﬂﬃﬄⅱⅲⅳⅵⅶⅷⅸⅺⅻ㎡㎢㎏㎝㎞㎜")
+
+
+def strip_marks(col: Column) -> Column:
+    """Lower case with accents removed (đ as d) and everything else kept."""
+    pairs = {chr(cp): unicodedata.normalize("NFD", chr(cp))[0] for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.normalize("NFD", chr(cp)) != chr(cp)} | {"đ": "d", "Đ": "D"}
+    return F.lower(F.regexp_replace(F.translate(col, "".join(pairs), "".join(pairs.values())), r"\p{Mn}", ""))
 
 
 def squeeze(col: Column) -> Column:
@@ -110,3 +146,75 @@ def path_level(path: Column, name: str) -> Column:
 def boundary_contains(text: Column, surface: Column) -> Column:
     """Whether a folded surface occurs in a folded text as whole words."""
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), surface, F.lit(" ")))
+
+
+# What is cut from the ends of a surface.
+_SURFACE_ENDS = r"^[\"'“”‘’(\[{]+|[\"'“”‘’)\]};:,.]+$"
+
+
+def surface(col: Column) -> Column:
+    """A surface form: lower case, single spaces, without quotes, brackets and marks at its ends."""
+    return squeeze(F.regexp_replace(F.lower(squeeze(col)), _SURFACE_ENDS, ""))
+
+
+def surface_key(col: Column) -> Column:
+    return match_key(surface(col))
+
+
+def graph_key(col: Column) -> Column:
+    """Lower case with one kind of dash, quotes as spaces and single spaces."""
+    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(col), "[–—−]", "-"), "[\"'“”‘’`]", " "))
+
+
+def content_terms(col: Column, stop: list[str], shortest: int = 2) -> Column:
+    """Folded words without stop words, numbers and words under ``shortest`` letters."""
+    return F.filter(tokens(col), lambda w: (F.length(w) >= shortest) & ~w.isin(*stop) & ~w.rlike(r"^\d+$"))
+
+
+def form_number(col: Column) -> Column:
+    """The number of a form as a key: leading zeros removed, letters kept; null without one."""
+    found = F.regexp_extract(fold(col), r"(?:^|[^a-z0-9])(?:mau\s*(?:so\s*)?)?0*(\d+[a-z]?)(?![a-z0-9])", 1)
+    return F.when(found != "", found)
+
+
+def form_numbers(*texts: Column) -> Column:
+    """The distinct form numbers that texts name after the word for form."""
+    whole = fold(F.concat_ws(" | ", *texts))
+    found = F.regexp_extract_all(F.regexp_replace(whole, "[_-]", " "), F.lit(r"\bmau\s+(?:so\s+)?0*(\d+[a-z]?)\b"), 1)
+    return F.array_distinct(found)
+
+
+def roman(col: Column) -> Column:
+    """The value of a Roman numeral, or of digits; null for anything else."""
+    value = F.create_map(*[F.lit(x) for x in ("I", 1, "V", 5, "X", 10, "L", 50, "C", 100, "D", 500, "M", 1000)])
+    letters = F.filter(F.split(F.upper(col), ""), lambda c: c != "")
+    sums = F.aggregate(letters, F.struct(F.lit(0).alias("t"), F.lit(0).alias("last")), lambda a, c: F.struct((a["t"] + value[c] - F.when(a["last"] < value[c], 2 * a["last"]).otherwise(0)).alias("t"), value[c].alias("last")))
+    return F.when(col.rlike(r"^\d+$"), col.try_cast("int")).when(F.upper(col).rlike("^[IVXLCDM]+$"), sums["t"]).cast("int")
+
+
+def appendix_order(col: Column) -> Column:
+    """Sort key of an appendix label: its number (Roman or plain), then its letters."""
+    token = F.element_at(F.split(strip(col), r"\s+"), -1)
+    head = F.regexp_extract(F.upper(token), r"^([IVXLCDM]+|\d+)", 1)
+    return F.struct(F.coalesce(roman(F.when(head != "", head)), F.lit(10**6)).alias("number"), F.upper(token).alias("label"))
+
+
+def number_or(col: Column, default: float = 0.0) -> Column:
+    """A number, or the default where the text is none."""
+    return F.coalesce(col.try_cast("double"), F.lit(default))
+
+
+def percent(col: Column) -> Column:
+    return F.concat(F.format_number(col * 100, 2), F.lit("%"))
+
+
+def shorten(col: Column, longest: int) -> Column:
+    """Texts over ``longest`` characters cut, with three dots."""
+    return F.when(F.length(col) > longest, F.concat(F.rtrim(F.substring(col, 1, longest)), F.lit("..."))).otherwise(col)
+
+
+def around(text: Column, start: Column, end: Column, window: int = 160) -> Column:
+    """The text within ``window`` characters of a span; without one its beginning."""
+    low = F.greatest(start - window, F.lit(0))
+    inside = F.substring(text, low + 1, F.least(end + window, F.length(text)) - low)
+    return F.when(start.isNull() | end.isNull(), F.substring(text, 1, 2 * window)).otherwise(inside)

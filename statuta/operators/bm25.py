@@ -1,23 +1,20 @@
-"""BM25: postings, document frequencies and block-wise search. Query-term multiplicity
-is ignored; only scores over 0 count."""
+"""BM25: postings, document frequencies and search. Query-term multiplicity is ignored;
+only scores over 0 count.
 
-from __future__ import annotations
+The corpus is tokenised once, into postings placed by document. Only postings of query
+terms are scored. The query terms' document frequencies are counted on the map side; the
+terms of all queries are joined to the postings (AQE splits terms that hold many), the
+products are summed per query and document, and the best ``k`` are cut by a window group
+limit before their shuffle."""
 
-from collections import Counter
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import text as tx
 
 
-#: Queries scored at once; more are handled block after block.
-BLOCK = 2048
-
-
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``doc, term, tf, dl``: one row per document and term. The document length travels
     with the posting, so no join is needed for it. Documents are placed by key once;
@@ -38,68 +35,26 @@ def idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(stats), how="cross").select("term", "df", weight.alias("idf"))  # stats: one row
 
 
-def term_weights(queries: DataFrame, docs: DataFrame, stats: DataFrame, key: str, text: str, doc_text: str) -> DataFrame:
-    """``q, term, idf`` of every query; document frequencies are counted for query terms only."""
-    terms = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("q"), F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("term"))
-    held = docs.select(F.explode(F.array_distinct(tx.tokens(F.col(doc_text)))).alias("term"))
-    return terms.join(idf(held.join(terms.select("term").distinct(), "term", "left_semi"), stats), "term").select("q", "term", "idf")
+def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
+    """``q, term``: the distinct terms of every query."""
+    return queries.where(F.col(key).isNotNull()).select(F.col(key).alias("q"), F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("term")).distinct()
 
 
-def search(queries: DataFrame, docs: DataFrame, key: str, text: str, doc_key: str, doc_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def search(queries: DataFrame, docs: DataFrame, key: str, text: str, doc_key: str, doc_text: str, k: int, k1: float = 1.5, b: float = 0.75, salts: int = 16) -> DataFrame:
     """``q, doc, score, rank``: the best ``k`` documents of every query, ties by document.
-
-    The queries are taken in blocks of bounded size. Each block's terms go to the
-    documents, which are scored where they lie; a batch of documents sends on, per
-    query, only those that reach its ``k``-th best score. Neither postings nor pairs of
-    query and document are shuffled. Queries and documents without words match nothing."""
+    Queries and documents without words match nothing. A term that a third of all documents
+    hold is spread over ``salts`` parts of the documents; each part meets a copy of the
+    query's terms, of which there are few."""
     docs = docs.where(F.col(doc_key).isNotNull())
     stats = corpus_stats(docs, doc_key, doc_text)
-    mean = stats.first().avgdl or 1.0
-    weights = term_weights(queries, docs, stats, key, text, doc_text).repartitionByRange("q").sortWithinPartitions("q")
-    kind_q, kind_d = queries.schema[key].dataType.simpleString(), docs.schema[doc_key].dataType.simpleString()
-    schema = f"q {kind_q}, doc {kind_d}, score double"
-    worded = docs.select(F.col(doc_key).alias("doc"), tx.tokens(F.col(doc_text)).alias("words"))
-    out = None
-    for names, index in _blocks(weights):
-        shared = docs.sparkSession.sparkContext.broadcast((names, index))
-        part = worded.mapInPandas(_scorer(shared, mean, k, k1, b), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], schema + ", rank int")
+    terms = query_terms(queries, key, text)
+    posted = postings(docs, doc_key, doc_text).join(terms.select("term").distinct(), "term", "left_semi")
+    weights = idf(posted, stats).select("term", "idf")
+    mean = F.broadcast(stats.select(F.greatest("avgdl", F.lit(1e-9)).alias("avgdl")))  # one row
+    tf, dl = F.col("tf"), F.col("dl")
+    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+    scored = posted.join(mean, how="cross").select("term", "doc", gain.alias("gain"), F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt"))
+    asked = terms.join(weights, "term").withColumn("salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
+    hits = asked.join(scored, ["term", "salt"]).groupBy("q", "doc").agg(F.sum(F.col("idf") * F.col("gain")).alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _blocks(weights: DataFrame) -> Iterator[tuple[list, dict]]:
-    """Up to BLOCK queries at once: their ids, and per term the queries that hold it with its idf."""
-    names: list = []
-    index: dict[str, tuple[list[int], float]] = {}
-    for q, term, weight in weights.toLocalIterator():
-        if not names or names[-1] != q:
-            if len(names) == BLOCK:
-                yield names, index
-                names, index = [], {}
-            names.append(q)
-        index.setdefault(term, ([], weight))[0].append(len(names) - 1)
-    if names:
-        yield names, index
-
-
-def _scorer(shared, mean: float, k: int, k1: float, b: float):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, index = shared.value
-        rows = {term: (np.array(qs), weight) for term, (qs, weight) in index.items()}
-        ids = np.array(names, dtype=object)
-        for batch in batches:
-            scores = np.zeros((len(batch), len(names)))
-            for i, words in enumerate(batch["words"]):
-                scale = k1 * (1 - b + b * len(words) / mean)
-                for term, tf in Counter(words).items():
-                    if term in rows:
-                        qs, weight = rows[term]
-                        scores[i, qs] += weight * tf * (k1 + 1) / (tf + scale)
-            least = np.partition(scores, -k, axis=0)[-k] if len(batch) > k else np.zeros(len(names))
-            d, q = np.nonzero((scores >= least) & (scores > 0))
-            yield pd.DataFrame({"q": ids[q], "doc": batch["doc"].to_numpy()[d], "score": scores[d, q]})
-
-    return score
+    return hits.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

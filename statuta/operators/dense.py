@@ -18,53 +18,62 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
 
 
-def _blocks(queries: DataFrame, key: str, vector: str) -> list:
-    """The query vectors in blocks; each block's size is bounded, and blocks are sent one by one."""
-    rows = queries.select(key, vector).where(F.col(key).isNotNull() & F.col(vector).isNotNull()).orderBy(key).toLocalIterator(prefetchPartitions=False)
-    blocks, now = [], []
+def _blocks(queries: DataFrame, key: str, vector: str, extra: list[str]) -> Iterator[list]:
+    """The query rows, BLOCK at a time, as they arrive."""
+    rows = queries.select(key, vector, *extra).where(F.col(key).isNotNull() & F.col(vector).isNotNull()).orderBy(key).toLocalIterator(prefetchPartitions=False)
+    now: list = []
     for row in rows:
-        now.append((row[0], row[1]))
+        now.append(tuple(row))
         if len(now) == BLOCK:
-            blocks.append(now)
+            yield now
             now = []
-    return blocks + [now] * bool(now)
-
-
-def similarities(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int | None = None, carry: str | None = None, least: float | None = None) -> DataFrame:
-    """``query_id, item, carry, similarity``: cosines of every query with every other
-    vector, per task only the best ``k`` (or those of at least ``least``). Null vectors are left out."""
-    extra = [carry] if carry else []
-    frames = []
-    context = queries.sparkSession.sparkContext
-    for block in _blocks(queries, key, vector):
-        names = np.array([q for q, _ in block])
-        shared = context.broadcast((names, _unit(pd.Series([v for _, v in block]))))
+    if now:
+        yield now
+
+
+def similarities(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int | None = None, label: str | None = None, mode: str = "all", least: float | None = None) -> DataFrame:
+    """``query_id, item, label, similarity``: cosines of every query with every other vector
+    of at least ``least``, cut inside the task: per query the best ``k`` (ties with the k-th
+    stay); with ``mode`` "same" only of the query's own label, with "per_label" the best of
+    each label. Null vectors are left out. A batch sends at most k (or one per label) rows
+    per query and task batch."""
+    extra = [label] if label else []
+    kind = vectors.schema[key].dataType.simpleString()
+    schema = f"query_id {kind}, item {kind}" + "".join(f", {c} {vectors.schema[c].dataType.simpleString()}" for c in extra) + ", similarity double"
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector, *extra)
+    context, out = queries.sparkSession.sparkContext, None
+    for block in _blocks(queries, key, vector, extra if mode == "same" else []):
+        own = np.array([r[2] for r in block], dtype=object) if mode == "same" else None
+        shared = context.broadcast((np.array([r[0] for r in block]), _unit(pd.Series([r[1] for r in block])), own))
 
         def score(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
+            ids, matrix, labels = shared.value
             for part in parts:
                 if not len(part):
                     continue
                 cosine = matrix @ _unit(part[vector]).T
                 cosine[ids[:, None] == part[key].to_numpy()[None, :]] = -np.inf
-                keep = np.isfinite(cosine) & (cosine >= (least if least is not None else -np.inf))
-                if k is not None and cosine.shape[1] > k:  # ties with the k-th stay
-                    keep &= cosine >= np.partition(cosine, -k, axis=1)[:, -k][:, None]
-                q, v = np.nonzero(keep)
+                if least is not None:
+                    cosine[cosine < least] = -np.inf
+                theirs = part[label].to_numpy(dtype=object) if label else None
+                if mode == "same":
+                    cosine[labels[:, None] != theirs[None, :]] = -np.inf
+                if mode == "per_label":
+                    keep = np.zeros(cosine.shape, bool)
+                    codes, names = pd.factorize(theirs, use_na_sentinel=False)
+                    for i in range(len(names)):
+                        columns = np.flatnonzero(codes == i)
+                        keep[np.arange(ids.size), columns[cosine[:, columns].argmax(axis=1)]] = True
+                else:
+                    keep = np.ones(cosine.shape, bool)
+                    if k is not None and cosine.shape[1] > k:
+                        keep = cosine >= np.partition(cosine, -k, axis=1)[:, -k][:, None]
+                q, v = np.nonzero(keep & np.isfinite(cosine))
                 yield pd.DataFrame({"query_id": ids[q], "item": part[key].to_numpy()[v], **{c: part[c].to_numpy()[v] for c in extra}, "similarity": cosine[q, v]})
 
-        kind = vectors.schema[key].dataType.simpleString()
-        more = "".join(f", {c} {vectors.schema[c].dataType.simpleString()}" for c in extra)
-        rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector, *extra)
-        frames.append(rows.mapInPandas(score, f"query_id {kind}, item {kind}{more}, similarity double"))
-    if not frames:
-        more = "".join(f", {c} {vectors.schema[c].dataType.simpleString()}" for c in extra)
-        kind = vectors.schema[key].dataType.simpleString()
-        return queries.sparkSession.createDataFrame([], f"query_id {kind}, item {kind}{more}, similarity double")
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+        piece = rows.mapInPandas(score, schema)
+        out = piece if out is None else out.unionByName(piece)
+    return queries.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -74,17 +83,21 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k
 
 def activation(queries: DataFrame, vectors: DataFrame, key: str, vector: str, label: str, least: float) -> DataFrame:
     """Per query and label the best similarity of at least ``least``."""
-    return similarities(queries, vectors, key, vector, None, label, least).groupBy("query_id", label).agg(F.max("similarity").alias("activation"))
+    return similarities(queries, vectors, key, vector, None, label, "per_label", least).groupBy("query_id", label).agg(F.max("similarity").alias("activation"))
 
 
 def mine(candidates: DataFrame, seeds: DataFrame, key: str, vector: str, label: str, count: str | None = None, top: int = 10, least: float = 0.35) -> DataFrame:
-    """``candidate, score``: candidates scored by the seeds of their own label: .75 of the
-    best similarity, .25 of the mean of the best ``top``, and a bonus for frequency of at
-    most .08 (ln(1 + n) / 50). Scores under ``least`` are left out."""
-    own = candidates.select(F.col(key).alias("query_id"), F.col(label).alias("_label"), *([F.col(count).alias("_n")] if count else []))
-    near = similarities(candidates, seeds, key, vector, None, label).join(own, "query_id").where(F.col(label) == F.col("_label"))
+    """``candidate, score, best_seed, status``: candidates scored by the seeds of their own
+    label: .75 of the best similarity, .25 of the mean of the best ``top``, and a bonus for
+    frequency of at most .08 (ln(1 + n) / 50, a count of 0 counting as 1). Scores under
+    ``least`` are left out; from .72 on a candidate is suggested, else it is for review."""
+    near = similarities(candidates, seeds, key, vector, top, label, "same")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item")
     best = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
-    bonus = F.least(F.lit(0.08), F.log1p(F.max("_n")) / 50) if count else F.lit(0.0)
-    score = 0.75 * F.max("similarity") + 0.25 * F.avg("similarity") + bonus
-    return best.groupBy(F.col("query_id").alias("candidate")).agg(score.alias("score")).where(F.col("score") >= least)
+    per = best.groupBy("query_id").agg(F.max("similarity").alias("_best"), F.avg("similarity").alias("_mean"), F.min_by("item", "_r").alias("best_seed"))
+    bonus = F.lit(0.0)
+    if count:
+        per = per.join(candidates.select(F.col(key).alias("query_id"), F.col(count).alias("_n")), "query_id")
+        bonus = F.least(F.lit(0.08), F.log1p(F.greatest(F.coalesce("_n", F.lit(1)), F.lit(1))) / 50)
+    score = 0.75 * F.col("_best") + 0.25 * F.col("_mean") + bonus
+    return per.select(F.col("query_id").alias("candidate"), score.alias("score"), "best_seed").where(F.col("score") >= least).withColumn("status", F.when(F.col("score") >= 0.72, "suggested").otherwise("review"))

@@ -6,24 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def minmax(value: Column, group: str) -> Column:
-    """The weakest value of a group becomes 0, the strongest 1; a constant group 1.
-    Null stays null."""
-    over = Window.partitionBy(group)
-    low, high = F.min(value).over(over), F.max(value).over(over)
-    return F.when(value.isNull(), None).when(high <= low, 1.0).otherwise((value - low) / (high - low))
+def minmax(df: DataFrame, group: str, values: list[str]) -> DataFrame:
+    """``df`` with every value rescaled inside its group: the weakest becomes 0, the
+    strongest 1, a constant group 1; null stays null. The bounds are aggregated on the map
+    side and joined back, so a group that holds a third of all rows is never in one task."""
+    bounds = df.groupBy(group).agg(*[f(c).alias(f"_{n}_{c}") for c in values for n, f in (("low", F.min), ("high", F.max))])
+    both = df.join(bounds, group)
+
+    def scaled(c: str) -> Column:
+        low, high = F.col(f"_low_{c}"), F.col(f"_high_{c}")
+        return F.when(F.col(c).isNull(), None).when(high <= low, 1.0).otherwise((F.col(c) - low) / (high - low))
+
+    return both.select(*[scaled(c).alias(c) if c in values else F.col(c) for c in df.columns])
 
 
 def fuse(candidates: DataFrame, group: str, item: str, weights: dict[str, float], graph_only_penalty: float = 0.65) -> DataFrame:
-    """``group, item, score, rank``: weighted sum of min-max scores. A candidate whose
-    normalised dense and lexical scores are both 0 is multiplied by the penalty; scores
-    of 0 and less are dropped; ties are ordered by item. Components of weight 0 are never read."""
+    """``group, item, score, rank``: weighted sum of min-max scores. The graph score of a
+    candidate whose normalised dense and lexical scores are both 0 is multiplied by the
+    penalty; scores of 0 and less are dropped; ties are ordered by item. Components of
+    weight 0 are never read."""
     used = {c: w for c, w in weights.items() if w}
-    norm = candidates.select(group, item, *[minmax(F.col(c), group).alias(f"n_{c}") for c in {**used, "dense": 0, "bm25": 0}])
-    zero = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0.0))
-    total = sum((zero(c) * w for c, w in used.items()), F.lit(0.0))
+    columns = list(dict.fromkeys([*used, "dense", "bm25"]))
+    norm = minmax(candidates.select(group, item, *columns), group, columns)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     only_graph = (zero("dense") == 0) & (zero("bm25") == 0)
-    scored = norm.select(group, item, F.when(only_graph, total * graph_only_penalty).otherwise(total).alias("score")).where("score > 0")
+    part = lambda c: F.when(only_graph, zero(c) * graph_only_penalty).otherwise(zero(c)) if c == "graph" else zero(c)
+    total = sum((part(c) * w for c, w in used.items()), F.lit(0.0))
+    scored = norm.select(group, item, total.alias("score")).where("score > 0")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), item)))
 
 

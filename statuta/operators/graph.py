@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Base weights of reference kinds; other kinds have OTHER, unknown ones UNKNOWN.
-REFERENCE_WEIGHTS = {"document": 1.0, "article": 0.95, "clause": 0.9, "point": 0.9, "appendix": 0.85, "form": 0.85}
-OTHER, UNKNOWN = 0.60, 0.50
+# Base weights of reference kinds, and of kinds that aren't named.
+REFERENCE_WEIGHTS = {"point": 1.0, "clause": 0.9, "article": 0.8, "form": 0.75, "appendix": 0.7, "legal_document": 0.5, "document": 0.5, "unknown": 0.5}
+OTHER = 0.60
 
 
 def entity_degree(links: DataFrame) -> DataFrame:
@@ -15,6 +15,34 @@ def entity_degree(links: DataFrame) -> DataFrame:
     return links.groupBy("entity").agg(F.countDistinct("passage").alias("degree"), F.log1p(F.sum("weight")).alias("weight"))
 
 
+def entity_links(links: DataFrame) -> DataFrame:
+    """``passage, entity, weight, sources``: one edge per passage and entity, ln(1 + summed
+    weight), with the sorted sources; sums of 0 and less have none."""
+    source = F.col("source") if "source" in links.columns else F.lit(None).cast("string")
+    merged = links.groupBy("passage", "entity").agg(F.sum("weight").alias("w"), F.array_sort(F.collect_set(source)).alias("sources"))
+    return merged.where("w > 0").select("passage", "entity", F.log1p("w").alias("weight"), "sources")
+
+
+def entity_nodes(links: DataFrame) -> DataFrame:
+    """``entity, degree, min_graph_weight, is_hub``: distinct passages, weightless links
+    included, and the weight that keeps hubs down."""
+    degree = links.groupBy("entity").agg(F.countDistinct("passage").alias("degree"))
+    d = F.col("degree")
+    weight = F.when(d > 5000, 0.10).when(d > 2000, 0.20).when(d > 800, 0.35).otherwise(1.0)
+    return degree.select("entity", "degree", weight.alias("min_graph_weight"), (d > 800).alias("is_hub"))
+
+
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``part, type, n``: nodes and edges by type."""
+    counted = lambda df, part: df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "type", "n")
+    return counted(nodes, "node").unionByName(counted(edges, "edge"))
+
+
+def top_degrees(edges: DataFrame, end: str, k: int) -> DataFrame:
+    """``id, degree`` of the ``k`` ends with most edges, ties by id."""
+    return edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "id").limit(k)
+
+
 def cooccurrence(links: DataFrame, most_entities: int | None = None, most_degree: int | None = None, least: float = 0.05) -> DataFrame:
     """``source, target, weight``: pairs of entities of a passage, with ln(1 + sum of the
     smaller weights); weights of 0 and less are left out. All entities and all pairs count
@@ -40,7 +68,7 @@ def cooccurrence(links: DataFrame, most_entities: int | None = None, most_degree
 def reference_weight(kind: Column, confidence: Column) -> Column:
     """Base weight of the kind times the confidence clamped to [0, 1]; a null or zero
     confidence counts as 1."""
-    base = F.when(kind == "unknown", UNKNOWN)
+    base = F.when(F.lit(False), F.lit(0.0))
     for name, weight in REFERENCE_WEIGHTS.items():
         base = base.when(kind == name, weight)
     sure = F.when(confidence.isNull() | (confidence == 0), 1.0).otherwise(confidence)

@@ -91,7 +91,7 @@ def resolve(mentions: DataFrame, units: DataFrame, attachments: DataFrame, docum
     the finest selector of the raw text: point .98, clause .97, article .96, else what lies
     below the article .72, in the document whose number the raw text names, else in their own.
     A level that the raw text leaves out is that of the place of the mention. Documents and
-    appendices that aren't there make the status missing_target."""
+    appendices that aren't there give the status unresolved_missing_document or _attachment."""
     rows = mentions.select("mention_id", "mention_type", "package_id", "document_id", "label", F.coalesce("raw", F.lit("")).alias("raw"), "source_path_text")
     known = documents.where("document_id is not null and document_number is not null").select(tx.compact_key(tx.document_number(F.col("document_number"))).alias("number_key"), F.col("document_id").alias("found_id")).distinct()
     said = F.regexp_extract("raw", PATTERNS["document"], 1)
@@ -148,18 +148,19 @@ def resolve(mentions: DataFrame, units: DataFrame, attachments: DataFrame, docum
         candidates = candidates.unionByName(more)
     best = best_candidates(candidates, "mention_id", "target", "score")
     asked = rows.groupBy("mention_id", "mention_type").agg(F.bool_or(F.col("number_key").isNotNull() & F.col("found_id").isNull()).alias("no_document"))
-    missing = F.col("target").isNull() & (F.col("no_document") | (F.col("mention_type") == "appendix"))
-    status = F.when(missing, "missing_target").otherwise(F.coalesce("status", F.lit("unresolved")))
+    none = F.col("target").isNull()
+    hint = F.when(none & F.col("no_document"), "unresolved_missing_document").when(none & (F.col("mention_type") == "appendix"), "unresolved_missing_attachment")
+    status = F.coalesce(hint, F.col("status"), F.lit("unresolved"))
     return asked.join(best, "mention_id", "left").select("mention_id", "mention_type", "target", F.col("best").alias("score"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), status.alias("status"))
 
 
 def decide(best: Column, second: Column, missing: Column | None = None) -> Column:
-    """Decision over candidate scores: a missing-target hint wins; at least .90 resolves
-    unless the runner-up is within .03; at least .65 is ambiguous; anything else, and no
+    """Decision over candidate scores: a missing-target hint wins (``missing`` names it); at
+    least .90 resolves unless the runner-up is not less than .03 behind; at least .65 is ambiguous; anything else, and no
     candidate, is unresolved."""
-    close = second.isNotNull() & (best - second < 0.03)
+    close = second.isNotNull() & (second >= F.round(best - 0.03, 6))
     ladder = F.when(best >= 0.90, F.when(close, "ambiguous").otherwise("resolved")).when(best >= 0.65, "ambiguous").otherwise("unresolved")
-    return ladder if missing is None else F.when(missing, "missing_target").otherwise(ladder)
+    return ladder if missing is None else F.coalesce(missing, ladder)
 
 
 def best_candidates(candidates: DataFrame, key: str, target: str, score: str, keep: int = 8) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def guarded_filter(df: DataFrame, group: str, keep: Column) -> DataFrame:
-    """Rows of a group that pass, or the whole group if none would."""
-    passes = F.coalesce(keep, F.lit(False))
-    some = F.max(passes).over(Window.partitionBy(group))
-    return df.withColumn("_some", some).where(F.col("_some") & passes | ~F.col("_some")).drop("_some")
+    """Rows of a group that pass, or the whole group if none would. Whether any passes is
+    aggregated on the map side and joined back."""
+    marked = df.withColumn("_passes", F.coalesce(keep, F.lit(False)))
+    some = marked.groupBy(group).agg(F.max("_passes").alias("_some"))
+    return marked.join(some, group).where(F.col("_passes") | ~F.col("_some")).drop("_passes", "_some").select(*df.columns)
 
 
 def rerank(df: DataFrame, group: str, item: str, score: str, in_force: Column, domain: Column, k: int, bonus: float = 2.5, malus: float = -8.0, top: int | None = None) -> DataFrame:

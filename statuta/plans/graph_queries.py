@@ -206,7 +206,7 @@ v AS (SELECT surface_key, entity_label, n::BIGINT AS n, n_documents, surface, n_
   CASE WHEN length(surface_key) < 2 OR regexp_matches(surface_key, '^[\\d\\s./-]+$') THEN 'reject' WHEN n_labels > 1 THEN 'conflict' WHEN n >= 3 THEN 'accept' ELSE 'review' END AS status
   FROM t JOIN d USING (surface_key, entity_label) JOIN l USING (surface_key))"""
 _LINKS = _EXTRACT + ",\nk AS (SELECT unit_id AS passage, mention_type || ':' || label AS entity, 1.0 AS weight FROM x)"
-_WEIGHT = "CASE coalesce(mention_type, 'unknown') WHEN 'unknown' THEN 0.5 " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in gr.REFERENCE_WEIGHTS.items()) + " ELSE 0.6 END * least(greatest(CASE WHEN resolution.confidence IS NULL OR resolution.confidence = 0 THEN 1.0 ELSE resolution.confidence END, 0.0), 1.0)"
+_WEIGHT = "CASE coalesce(mention_type, 'unknown') WHEN 'point' THEN 1.0 WHEN 'clause' THEN 0.9 WHEN 'article' THEN 0.8 WHEN 'form' THEN 0.75 WHEN 'appendix' THEN 0.7 WHEN 'legal_document' THEN 0.5 WHEN 'document' THEN 0.5 WHEN 'unknown' THEN 0.5 ELSE 0.6 END * least(greatest(CASE WHEN resolution.confidence IS NULL OR resolution.confidence = 0 THEN 1.0 ELSE resolution.confidence END, 0.0), 1.0)"
 _EDGES = f"e AS (SELECT source_unit_id AS source, resolution.target_id AS target, mention_type, raw, max({_WEIGHT}) AS weight FROM m WHERE resolution.target_id <> '' AND source_unit_id <> '' GROUP BY ALL)"
 _REGISTER = """g AS (SELECT document_id, max(document_number) AS document_number,
   min(try_strptime(CASE WHEN lower(trim(effective_from)) IN ('null','none','nan','nat','') THEN NULL ELSE trim(effective_from) END, '%Y-%m-%d')::DATE) AS valid_from,

@@ -13,7 +13,8 @@ from statuta.operators.corpus import latest, present
 from statuta.plans.text_queries import KEY_SQL
 from statuta.session import table
 
-#: Weights of the default hybrid configuration.
+# Weights of the hybrid configurations with and without embeddings.
+LEXICAL = {"dense": 0.0, "bm25": 0.25, "graph": 0.15, "reference": 0.60}
 WEIGHTS = {"dense": 0.25, "bm25": 0.25, "graph": 0.20, "reference": 0.30}
 PARTS = list(WEIGHTS)
 
@@ -38,12 +39,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _passages(spark, sf_dir)
     asked = table(spark, sf_dir, "gold_questions").dropDuplicates(["question_id"])
     found = bm.search(asked, docs, "question_id", "question", "unit_id", "content", 10)
-    return found.select(F.col("q").alias("question_id"), F.round("score", 6).alias("score"), "rank")
+    return found.select(F.col("q").alias("question_id"), F.col("doc").alias("unit_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _candidates(spark, sf_dir)
-    return rows.select("question_id", "passage_id", *[F.round(fu.minmax(F.col(c), "question_id"), 6).alias(c) for c in PARTS])
+    rows = fu.minmax(_candidates(spark, sf_dir), "question_id", PARTS)
+    return rows.select("question_id", "passage_id", *[F.round(c, 6).alias(c) for c in PARTS])
 
 
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The configuration without embeddings: the dense branch has weight 0."""
-    out = fu.fuse(_candidates(spark, sf_dir), "question_id", "passage_id", {"dense": 0.0, "bm25": 0.25, "graph": 0.15, "reference": 0.60}).where("rank <= 5")
+    out = fu.fuse(_candidates(spark, sf_dir), "question_id", "passage_id", LEXICAL).where("rank <= 5")
     return out.select("question_id", "passage_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -61,7 +62,7 @@ def reference_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = _candidates(spark, sf_dir).select("question_id", "passage_id", (F.coalesce("bm25", F.lit(0.0)) * 0.7 + F.coalesce("graph", F.lit(0.0)) * 0.3).alias("score")).where("score > 0")
     mentions = latest(table(spark, sf_dir, "ref_mentions"), "mention_id", keep=["source_unit_id", "resolution"])
     passage = lambda c: F.concat(F.col(c), F.lit(".passage"))
-    edges = mentions.where("resolution.status = 'resolved' and resolution.target_type = 'unit' and source_unit_id <> ''").select(
+    edges = mentions.where("resolution.status = 'resolved' and coalesce(resolution.target_type, 'unit') = 'unit' and source_unit_id <> ''").select(
         passage("source_unit_id").alias("source"), passage("resolution.target_id").alias("target"), F.coalesce("resolution.confidence", F.lit(1.0)).alias("weight")
     )
     out = fu.expand(seeds, edges, "question_id", "passage_id", 100)
@@ -70,7 +71,7 @@ def reference_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return dn.cosine_topk(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 5).select("query_id", "rank", F.round("similarity", 4).alias("similarity"))
+    return dn.cosine_topk(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 5).select("query_id", "item", "rank", F.round("similarity", 4).alias("similarity"))
 
 
 def dense_label_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +112,10 @@ _NORM = "n AS (SELECT question_id, passage_id, " + ", ".join(
 
 
 def _fusion(weights: dict[str, float]) -> str:
-    total = " + ".join(f"coalesce({p}, 0) * {w}" for p, w in weights.items() if w)
+    alone = "CASE WHEN coalesce(dense, 0) = 0 AND coalesce(bm25, 0) = 0 THEN 0.65 ELSE 1.0 END"
+    total = " + ".join(f"coalesce({p}, 0) * {w}" + (f" * {alone}" if p == "graph" else "") for p, w in weights.items() if w)
     return f"""WITH {_CANDIDATES}, {_NORM},
-f AS (SELECT question_id, passage_id, ({total}) * CASE WHEN coalesce(dense, 0) = 0 AND coalesce(bm25, 0) = 0 THEN 0.65 ELSE 1.0 END AS score FROM n),
+f AS (SELECT question_id, passage_id, {total} AS score FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, passage_id) AS rank FROM f WHERE score > 0)
 SELECT question_id, passage_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 
@@ -128,7 +130,7 @@ SQL = {
     + f""", q AS (SELECT DISTINCT question_id, unnest(string_split({KEY_SQL('question')}, ' ')) AS term FROM gold_questions),
 x AS (SELECT question_id, doc, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN p USING (term) JOIN i USING (term), s GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc) AS rank FROM x)
-SELECT question_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
+SELECT question_id, doc AS unit_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
     "minmax_scores": f"WITH {_CANDIDATES}, {_NORM} SELECT question_id, passage_id, {', '.join(f'round({p}, 6) AS {p}' for p in PARTS)} FROM n",
     "weighted_fusion": _fusion(WEIGHTS),
     "lexical_fusion": _fusion({"dense": 0.0, "bm25": 0.25, "graph": 0.15, "reference": 0.60}),
@@ -136,9 +138,9 @@ SELECT question_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
 s AS (SELECT question_id, passage_id, coalesce(bm25, 0) * 0.7 + coalesce(graph, 0) * 0.3 AS score FROM c),
 t AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, passage_id) AS r FROM s WHERE score > 0),
 m AS (SELECT mention_id, max_by({{'s': source_unit_id, 'r': resolution}}, ingested_at) AS x FROM ref_mentions WHERE mention_id IS NOT NULL GROUP BY mention_id),
-e AS (SELECT x.s || '.passage' AS source, x.r.target_id || '.passage' AS target, coalesce(x.r.confidence, 1.0) AS weight FROM m WHERE x.r.status = 'resolved' AND x.r.target_type = 'unit' AND x.s <> '')
+e AS (SELECT x.s || '.passage' AS source, x.r.target_id || '.passage' AS target, coalesce(x.r.confidence, 1.0) AS weight FROM m WHERE x.r.status = 'resolved' AND coalesce(x.r.target_type, 'unit') = 'unit' AND x.s <> '')
 SELECT question_id, target AS passage_id, round(sum(score * weight), 4) AS reference FROM t JOIN e ON e.source = t.passage_id WHERE r <= 100 GROUP BY ALL""",
-    "dense_topk": _VECTORS + " SELECT query_id, rank, round(similarity, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item) AS rank FROM s) WHERE rank <= 5",
+    "dense_topk": _VECTORS + " SELECT query_id, item, rank, round(similarity, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item) AS rank FROM s) WHERE rank <= 5",
     "dense_label_activation": _VECTORS + " SELECT query_id, label, round(max(similarity), 4) AS activation FROM s WHERE similarity >= 0.1 GROUP BY ALL",
     "retrieval_metrics": """WITH runs AS (
   SELECT question_id, passage_id, result_rank, document_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id, passage_id ORDER BY retrieved_at DESC, result_rank DESC) AS r FROM retrieval_results WHERE question_id IS NOT NULL AND passage_id IS NOT NULL) WHERE r = 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +56,21 @@ def register_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (fold_normalise, token_frequency, text_hash_ids, number_tokens, date_mentions, path_selectors, document_slugs, register_clean)}
 
-_FOLD = "regexp_replace(replace(strip_accents(lower({0})), 'đ', 'd'), '[^\\x00-\\x7F]', '', 'g')"
+def _compat_sql() -> tuple[str, str, str]:
+    """Compatibility forms, from the Unicode tables: pairs of one character for translate,
+    and nested replacements for those of several."""
+    one = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in (0xA0, *range(0xAA, 0xC0), *range(0x2000, 0x2080), *range(0x2080, 0x20A0), 0x3000, *range(0xFF01, 0xFF5F), *range(0x2460, 0x2469))}
+    one = {k: v for k, v in one.items() if len(v) == 1 and v.isascii() and k != v and v != "'"}
+    nested = "lower({0})"
+    for c in (0xB4, 0xA8, 0xAF, 0xB8, *range(0x2D8, 0x2DE), *range(0xBC, 0xBF), 0x2026, 0x2103, 0x2109, 0x2116, 0x2122, *range(0x2150, 0x215F), *range(0x2161, 0x2164), *range(0x2165, 0x2169), *range(0x216A, 0x216C), 0x33A1, 0x339D, 0x339C, 0x338F, *range(0xFB00, 0xFB05)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if x.isascii()).lower()
+        nested = f"replace({nested}, '{chr(c).lower()}', '{plain}')"
+    braces = lambda t: t.replace("{", "{{").replace("}", "}}")
+    return nested, braces("".join(one)), braces("".join(one.values()))
+
+
+_NESTED, _ONE, _PLAIN = _compat_sql()
+_FOLD = f"regexp_replace(replace(strip_accents(translate({_NESTED}, '{_ONE}', '{_PLAIN}')), 'đ', 'd'), '[^\\x00-\\x7F]', '', 'g')"
 
 
 def _key(col: str) -> str:

@@ -116,10 +116,10 @@ def test_every_mention_type_is_resolved(spark):
     attachments = spark.createDataFrame(files, "package_id string, attachment_id string, attachment_kind string, label string, title string, source_file string")
     documents = spark.createDataFrame([("d", "1/2024/TT-BVĐ"), ("e", "2/2024/NĐ-CP"), (None, "3/2024/TT-X")], "document_id string, document_number string")
     asked = [
-        ("document", "2/2024/NĐ-CP", "Nghị định số 2/2024/NĐ-CP", "e", "resolved"), ("document", "9/2024/NĐ-CP", "Nghị định số 9/2024/NĐ-CP", None, "missing_target"),
-        ("appendix", "II", "Phụ lục II", "p.2", "resolved"), ("appendix", "X", "Phụ lục X", None, "missing_target"),
+        ("document", "2/2024/NĐ-CP", "Nghị định số 2/2024/NĐ-CP", "e", "resolved"), ("document", "9/2024/NĐ-CP", "Nghị định số 9/2024/NĐ-CP", None, "unresolved_missing_document"),
+        ("appendix", "II", "Phụ lục II", "p.2", "resolved"), ("appendix", "X", "Phụ lục X", None, "unresolved_missing_attachment"),
         ("form", "3", "Mẫu số 3", "p.m3", "resolved"), ("form", "4", "Mẫu số 4", "p.m4", "ambiguous"), ("form", "07", "Mẫu số 07", None, "unresolved"),
-        ("article", "5", "Điều 5", "d.a5", "resolved"), ("article", "7", "Điều 7", "d.a7.k1", "ambiguous"), ("article", "5", "Điều 5 của 2/2024/NĐ-CP", "e.a5", "resolved"), ("article", "5", "Điều 5 của 9/2024/NĐ-CP", None, "missing_target"),
+        ("article", "5", "Điều 5", "d.a5", "resolved"), ("article", "7", "Điều 7", "d.a7.k1", "ambiguous"), ("article", "5", "Điều 5 của 2/2024/NĐ-CP", "e.a5", "resolved"), ("article", "5", "Điều 5 của 9/2024/NĐ-CP", None, "unresolved_missing_document"),
         ("clause", "2", "khoản 2 Điều 5", "d.a5.k2", "resolved"), ("clause", "2", "khoản 2 Điều này", "d.a5.k2", "resolved"), ("clause", "9", "khoản 9 Điều 5", None, "unresolved"),
         ("point", "đ", "điểm đ khoản 2 Điều 5", "d.a5.k2.dd", "resolved"), ("point", "d", "điểm d khoản 2 Điều 5", "d.a5.k2.d", "resolved"), (None, None, None, None, "unresolved"),
     ]
