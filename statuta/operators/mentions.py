@@ -6,27 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import text as tx
+from statuta.operators import citations as ct
 
-# Patterns of the citation kinds; the first group is the label.
-PATTERNS = {
-    "article": r"(?:^|[^\p{L}])[Đđ]iều (\d+[a-zđ]?)(?:$|[^\p{L}\p{N}])",
-    "clause": r"(?:^|[^\p{L}])[Kk]hoản (\d+[a-zđ]?)(?:$|[^\p{L}\p{N}])",
-    "point": r"(?:^|[^\p{L}])[Đđ]iểm ([a-zđ])(?:$|[^\p{L}\p{N}])",
-    "appendix": r"(?:^|[^\p{L}])[Pp]hụ lục ([IVXLC]+|\d+)(?:$|[^\p{L}\p{N}])",
-    "form": r"(?:^|[^\p{L}])[Mm]ẫu số (\d+[A-Z]?)(?:$|[^\p{L}\p{N}])",
-    "document": r"(\d+/\d{4}/[A-ZĐ]+(?:-[A-ZĐ]+)+)",
-}
+# Fixed value: a document number, laws with their assembly's number included.
+NUMBER = r"(?<![\p{L}\p{N}/])(\d+/\d{4}/[A-ZĐ]+\d*(?:-[A-ZĐ0-9]+)*)(?![\p{L}\p{N}])"
+_EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def extract(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, mention_type, label``, one row per citation, in no order. All patterns are
-    applied in one pass over the text."""
-
-    def of_kind(kind: str) -> Column:
-        labels = F.regexp_extract_all(F.col(text), F.lit(PATTERNS[kind]), 1)
-        return F.transform(labels, lambda m: F.struct(F.lit(kind).alias("mention_type"), m.alias("label")))
-
-    found = [of_kind(kind) for kind in PATTERNS]
+    """``key, mention_type, label``, one row per citation, in no order: members of lists,
+    then single citations outside of them, and document numbers. Look-around keeps
+    neighbours apart; everything stays in the JVM. Places and scope: see ``citations``."""
+
+    def of(kind: str, labels: Column) -> Column:
+        return F.transform(labels, lambda x: F.struct(F.lit(kind).alias("mention_type"), x.alias("label")))
+
+    def members(lists: Column, label: str) -> Column:
+        return F.flatten(F.transform(lists, lambda m: F.array_distinct(F.regexp_extract_all(m, F.lit(rf"(?iU){_EDGE}({label}){_END}"), F.lit(1)))))
+
+    found = []
+    for kind, pattern in ct.SINGLE.items():
+        rest = F.col(text)
+        if kind in ct.LISTED:
+            word, label = ct.LISTED[kind]
+            many = rf"(?iU){_EDGE}{word}\s+{label}(?:\s*(?:,|\bvà\b|\bhoặc\b)\s*(?:{word}\s+)?{label})+"
+            found.append(of(kind, members(F.regexp_extract_all(rest, F.lit(many), F.lit(0)), label)))
+            rest = F.regexp_replace(rest, many, " ")
+        found.append(of(kind, F.regexp_extract_all(rest, F.lit(rf"(?U){_EDGE}{pattern}{_END}"), F.lit(1))))
+    found.append(of("document", F.regexp_extract_all(F.col(text), F.lit(NUMBER), F.lit(1))))
     return df.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*found)).alias("m")).select(key, "m.*")
 
 
@@ -94,7 +101,7 @@ def resolve(mentions: DataFrame, units: DataFrame, attachments: DataFrame, docum
     appendices that aren't there give the status unresolved_missing_document or _attachment."""
     rows = mentions.select("mention_id", "mention_type", "package_id", "document_id", "label", F.coalesce("raw", F.lit("")).alias("raw"), "source_path_text")
     known = documents.where("document_id is not null and document_number is not null").select(tx.compact_key(tx.document_number(F.col("document_number"))).alias("number_key"), F.col("document_id").alias("found_id")).distinct()
-    said = F.regexp_extract("raw", PATTERNS["document"], 1)
+    said = F.regexp_extract("raw", NUMBER, 1)
     named = F.coalesce(F.when(said != "", said), F.when(F.col("mention_type") == "document", F.col("label")))
     rows = rows.withColumn("number_key", tx.compact_key(tx.document_number(named))).join(known, "number_key", "left")
 

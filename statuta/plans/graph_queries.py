@@ -69,7 +69,7 @@ def canonical_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark, sf_dir):
-    found = mn.extract(_units(spark, sf_dir, "content"), "unit_id", "content")
+    found = mn.extract(_units(spark, sf_dir, "content"), "unit_id", "content").where("label <> 'này'")
     return found.select(F.col("unit_id").alias("passage"), F.concat_ws(":", "mention_type", "label").alias("entity"), F.lit(1.0).alias("weight"))
 
 
@@ -196,7 +196,36 @@ def _latest(name: str, key: str, *keep: str) -> str:
 
 
 _M = "m AS (SELECT DISTINCT ON (mention_id) * FROM ref_mentions WHERE mention_id IS NOT NULL)"
-_EXTRACT = "u AS " + _latest("units", "unit_id", "content") + ",\nx AS (" + "\nUNION ALL ".join(f"SELECT unit_id, '{kind}' AS mention_type, unnest(regexp_extract_all(content, '{pattern}', 1)) AS label FROM u" for kind, pattern in mn.PATTERNS.items()) + ")"
+# every character between words is doubled, so that each side of it can be matched once
+_WORDY = r"[^\p{L}\p{N}_]"
+
+
+def _cited() -> str:
+    first, last = rf"(^|{_WORDY})", rf"(?:$|{_WORDY})"
+    both = r"(?:\s*,,\s*|\s+(?:và|hoặc)\s+)"
+    lists = {"article": (r"[ĐđD]iều", r"\d+[a-zA-Z]?"), "clause": (r"[Kk]hoản", r"\d+"), "point": (r"[ĐđD]iểm", r"[a-zđ]\d*")}
+    numeral = "[IVXLCDM]+"
+    single = {
+        "article": r"[ĐđD]iều\s+(\d+[a-zA-Z]?|này)", "clause": r"[Kk]hoản\s+(\d+|này)", "point": r"[ĐđD]iểm\s+([a-zđ]\d*|này)", "chapter": rf"[Cc]hương\s+({numeral}|\d+|này)", "section": rf"[Mm]ục\s+({numeral}|\d+|này)",
+        "appendix": rf"[Pp]hụ\s+[Ll]ục\s+({numeral}[A-Z]?|\d+[A-Z]?|[A-Z]+)", "form": r"[Mm]ẫu\s+(?:số\s+)?(\d{1,3}[A-Za-zĐđ]?(?:[._/-]{2}\d+)*)",
+    }
+    parts = [rf"u AS {_latest('units', 'unit_id', 'content')}", rf"d AS (SELECT unit_id, regexp_replace(content, '({_WORDY})', '\1\1', 'g') AS t FROM u)"]
+    rows = []
+    for kind, pattern in single.items():
+        text = "t"
+        if kind in lists:
+            word, label = lists[kind]
+            many = rf"(?i){first}({word}\s+{label}(?:{both}(?:{word}\s+)?{label})+)"
+            parts.append(rf"l_{kind} AS (SELECT unit_id, unnest(list_distinct(regexp_extract_all(replace(lower(m), 'điểm', '##'), '(?i)(?:^|{_WORDY}|#)({label})(?:$|{_WORDY})', 1))) AS label FROM (SELECT unit_id, regexp_replace(unnest(regexp_extract_all(t, '{many}', 2)), '({_WORDY})', '\1\1', 'g') AS m FROM d))")
+            rows.append(f"SELECT unit_id, '{kind}' AS mention_type, label FROM l_{kind}")
+            text = rf"regexp_replace(t, '{many}', '\1 ', 'g')"
+        rows.append(rf"SELECT unit_id, '{kind}', replace(replace(unnest(regexp_extract_all({text}, '(?:^|{_WORDY}){pattern}{last}', 1)), '--', '-'), '..', '.') FROM d")
+    rows.append(rf"SELECT unit_id, 'document', replace(replace(unnest(regexp_extract_all(t, '(?:^|[^\p{{L}}\p{{N}}/])(\d+//\d{{4}}//[A-ZĐ]+\d*(?:--[A-ZĐ0-9]+)*)(?:$|[^\p{{L}}\p{{N}}])', 1)), '//', '/'), '--', '-') FROM d")
+    whole = ",\n".join(parts) + ",\nx AS (" + "\nUNION ALL ".join(rows) + ")"
+    return whole.replace("\\s", "[\\s\\p{Z}]").replace("\\d", "\\p{Nd}")  # as other scripts' digits and spaces count
+
+
+_EXTRACT = _cited()
 _VOCAB = f"""r AS (SELECT * FROM (SELECT {KEY_SQL('raw')} AS surface_key, mention_type AS entity_label, raw, document_id, coalesce(occurrence_count, 1) AS k FROM m) WHERE surface_key <> ''),
 s AS (SELECT surface_key, entity_label, raw, sum(k) AS k FROM r GROUP BY ALL),
 t AS (SELECT surface_key, entity_label, sum(k) AS n, arg_min(raw, {{'o': -k, 'raw': raw}}) AS surface FROM s GROUP BY ALL),
@@ -205,7 +234,7 @@ l AS (SELECT surface_key, count(DISTINCT entity_label) AS n_labels FROM r GROUP
 v AS (SELECT surface_key, entity_label, n::BIGINT AS n, n_documents, surface, n_labels,
   CASE WHEN length(surface_key) < 2 OR regexp_matches(surface_key, '^[\\d\\s./-]+$') THEN 'reject' WHEN n_labels > 1 THEN 'conflict' WHEN n >= 3 THEN 'accept' ELSE 'review' END AS status
   FROM t JOIN d USING (surface_key, entity_label) JOIN l USING (surface_key))"""
-_LINKS = _EXTRACT + ",\nk AS (SELECT unit_id AS passage, mention_type || ':' || label AS entity, 1.0 AS weight FROM x)"
+_LINKS = _EXTRACT + ",\nk AS (SELECT unit_id AS passage, mention_type || ':' || label AS entity, 1.0 AS weight FROM x WHERE label <> 'này')"
 _WEIGHT = "CASE coalesce(mention_type, 'unknown') WHEN 'point' THEN 1.0 WHEN 'clause' THEN 0.9 WHEN 'article' THEN 0.8 WHEN 'form' THEN 0.75 WHEN 'appendix' THEN 0.7 WHEN 'legal_document' THEN 0.5 WHEN 'document' THEN 0.5 WHEN 'unknown' THEN 0.5 ELSE 0.6 END * least(greatest(CASE WHEN resolution.confidence IS NULL OR resolution.confidence = 0 THEN 1.0 ELSE resolution.confidence END, 0.0), 1.0)"
 _EDGES = f"e AS (SELECT source_unit_id AS source, resolution.target_id AS target, mention_type, raw, max({_WEIGHT}) AS weight FROM m WHERE resolution.target_id <> '' AND source_unit_id <> '' GROUP BY ALL)"
 _REGISTER = """g AS (SELECT document_id, max(document_number) AS document_number,
