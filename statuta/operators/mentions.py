@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import text as tx
 from statuta.operators import citations as ct
+from statuta.operators import gazetteer as gz
 
 # Fixed value: a document number, laws with their assembly's number included.
 NUMBER = r"(?<![\p{L}\p{N}/])(\d+/\d{4}/[A-ZĐ]+\d*(?:-[A-ZĐ0-9]+)*)(?![\p{L}\p{N}])"
@@ -180,10 +181,11 @@ def best_candidates(candidates: DataFrame, key: str, target: str, score: str, ke
     return out.withColumn("status", decide(F.col("best"), F.col("second")))
 
 
-def alias_ladder(surface: Column, count: Column, n_labels: Column) -> Column:
-    """Review status of a surface: rejected if too short or a bare number, in conflict if it
-    carries several labels, accepted from three occurrences, else for review."""
-    return F.when((F.length(surface) < 2) | surface.rlike(r"^[\d\s./-]+$"), "reject").when(n_labels > 1, "conflict").when(count >= 3, "accept").otherwise("review")
+def alias_ladder(surface: Column, label: Column, count: Column, n_labels: Column) -> Column:
+    """Review status of a surface: rejected as a citation or too generic, in conflict if its
+    key carries several labels, accepted from three occurrences, else for review."""
+    plain = gz.status(surface, label, count)
+    return F.when(plain == "reject", "reject").when(n_labels > 1, "conflict").otherwise(plain)
 
 
 def vocabulary(mentions: DataFrame) -> DataFrame:
@@ -195,4 +197,4 @@ def vocabulary(mentions: DataFrame) -> DataFrame:
     documents = rows.groupBy("surface_key", "entity_label").agg(F.countDistinct("document_id").alias("n_documents"))
     labels = rows.groupBy("surface_key").agg(F.countDistinct("entity_label").alias("n_labels"))
     out = spelling.join(documents, ["surface_key", "entity_label"]).join(labels, "surface_key")
-    return out.select("surface_key", "entity_label", "n", "n_documents", F.col("m.raw").alias("surface"), "n_labels", alias_ladder(F.col("surface_key"), F.col("n"), F.col("n_labels")).alias("status"))
+    return out.select("surface_key", "entity_label", "n", "n_documents", F.col("m.raw").alias("surface"), "n_labels", alias_ladder(F.col("m.raw"), F.col("entity_label"), F.col("n"), F.col("n_labels")).alias("status"))

@@ -14,21 +14,22 @@ from pyspark.sql import functions as F
 
 from statuta.functions import text as tx
 
-# Heading levels from the top, with the pattern of their number.
+_NUMERAL = r"[IVXLCDM]+"
+# Heading levels from the top, with the pattern of their number; the case of letters doesn't matter but in clauses.
 LEVELS = {
-    "phan": r"^Phần\s+(thứ\s+\p{L}+|[IVXLCDM\d]+)",
-    "chuong": r"^Chương\s+([IVXLCDM\d]+)",
-    "muc": r"^Mục\s+([IVXLCDM]+|\d+)",
-    "tieu_muc": r"^Tiểu\s*mục\s+([IVXLCDM]+|\d+)",
-    "dieu": r"^Điều\s+(\d+[a-zA-Z]*)",
-    "khoan": r"^(\d+)\.\s",
-    "diem": r"^([a-zđ])\)\s",
+    "phan": r"(?iu)^Phần\s+(thứ\s+\p{L}+|[IVXLCDM\d]+)",
+    "chuong": r"(?iu)^Chương\s+([IVXLCDM\d]+)",
+    "muc": rf"(?iu)^Mục\s+(\d+|{_NUMERAL})",
+    "tieu_muc": rf"(?iu)^Tiểu\s*mục\s+(\d+|{_NUMERAL})",
+    "dieu": r"(?iu)^Điều\s+(\d+[a-zA-Z]*)",
+    "khoan": r"^(\d+)\.",
+    "diem": r"(?iu)^([a-zđ])\)",
 }
 NAMES = {"phan": "Phần", "chuong": "Chương", "muc": "Mục", "tieu_muc": "Tiểu mục", "dieu": "Điều", "khoan": "Khoản", "diem": "Điểm"}
 
 # The same for annexes.
 ANNEX_LEVELS = {
-    "roman": r"^([IVX]+)\.\s",
+    "roman": rf"^({_NUMERAL})\.\s",
     "alpha": r"^([A-ZĐ])\.\s",
     "decimal_1": r"^(\d+)\.\s",
     "decimal_2": r"^(\d+\.\d+)\.?\s",

@@ -1,39 +1,70 @@
 """Document titles found by a hint: a similarity join by rare words, not a cross join.
 
-The score is 1 where the words are equal, else .75 of the title's covered share plus .25
-of the hint's; a title inside the hint has at least .98, a hint of three words and more
-inside the title .93; otherwise a hint covered by less than .75 has at most .78. A pair
-that can reach the threshold shares one of the hint's rarest words (as many as a covered
-share of .75 may miss, and one), or the title's rarest word; only such pairs are scored."""
+Words are content terms: folded, without stop words, numbers and single letters. The score
+is .75 of the title's covered share plus .25 of the hint's; a title inside the hint (as
+whole words) has 1, or .98 without content terms; a hint of three terms and more inside a
+title of its kind of document .93; otherwise a hint covered by less than .75 has at most
+.78. A pair that can reach the threshold shares one of the hint's rarest terms (as many as
+a covered share of .75 may miss, and one), or the title's rarest; only such pairs are scored."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import text as tx
 
 
+# Folded words that say nothing about a title.
+STOP = [
+    "ban", "cac", "cho", "co", "cua", "duoc", "hanh", "hoac", "kem", "khong", "la", "mau", "mot", "nay", "ngay", "nam", "nhung", "phai", "phu", "quy", "so", "tai", "theo", "thang", "trong", "va", "ve", "voi", "doi", "dinh", "luc",
+]
+# Folded kinds of documents.
+KINDS = ("bo luat", "luat", "nghi dinh", "thong tu", "quyet dinh", "nghi quyet")
+
+
+def terms(col: Column) -> Column:
+    return F.array_distinct(tx.content_terms(col, STOP))
+
+
+def overlap(query: Column, candidate: Column) -> Column:
+    """The score of a candidate text by the terms it shares with a query text; 1 if the
+    query holds it whole, 0 where either has no terms."""
+    q, c = terms(query), terms(candidate)
+    both = F.size(F.array_intersect(q, c))
+    inside = tx.boundary_contains(tx.match_key(query), tx.match_key(candidate))
+    return F.when((F.size(q) == 0) | (F.size(c) == 0), 0.0).when(inside, 1.0).otherwise(0.75 * both / F.size(c) + 0.25 * both / F.size(q))
+
+
+def _kind(key: Column) -> Column:
+    out = F.when(F.startswith(key, F.lit(KINDS[0])), KINDS[0])
+    for kind in KINDS[1:]:
+        out = out.when(F.startswith(key, F.lit(kind)), kind)
+    return out
+
+
 def resolve(hints: DataFrame, hint: str, titles: DataFrame, key: str, title: str, least: float = 0.82, gap: float = 0.08) -> DataFrame:
     """``hint, key, score``: the best title of each hint, ties by key; none where the second
     best document comes within ``gap``. Null and wordless hints and titles match nothing."""
+    words = lambda c: F.when(F.size(terms(F.col(c))) > 0, terms(F.col(c))).otherwise(F.array_distinct(tx.tokens(F.col(c))))
     h = hints.select(F.col(hint).alias("hint")).where("hint is not null").distinct().withColumn("hw", F.array_distinct(tx.tokens(F.col("hint")))).where(F.size("hw") > 0)
-    t = titles.select(F.col(key).alias("key"), F.col(title).alias("title")).where("key is not null and title is not null").distinct().withColumn("tw", F.array_distinct(tx.tokens(F.col("title")))).where(F.size("tw") > 0)
-    tw = t.select("key", "title", "tw", F.explode("tw").alias("word"))
+    t = titles.select(F.col(key).alias("key"), F.col(title).alias("title")).where("key is not null and title is not null").distinct().withColumn("tw", words("title")).where(F.size("tw") > 0)
+    tw = t.select("key", "title", F.explode("tw").alias("word"))
     rarity = tw.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("key", "title").orderBy("n", "word")
-    rarest = tw.join(rarity, "word").withColumn("r", F.row_number().over(first)).where("r = 1").select("key", "title", "tw", "word")
-    hw = h.select("hint", "hw", F.explode("hw").alias("word")).join(rarity, "word", "left").withColumn("r", F.row_number().over(Window.partitionBy("hint").orderBy(F.coalesce("n", F.lit(0)), "word")))
-    may_miss = F.size("hw") - F.ceil(F.size("hw") * 0.75) + 1
-    by_hint = hw.where(F.col("r") <= may_miss).select("hint", "hw", "word").join(tw, "word")
-    by_title = hw.select("hint", "hw", "word").join(rarest, "word")
-    pairs = by_hint.select("hint", "hw", "key", "title", "tw").unionByName(by_title.select("hint", "hw", "key", "title", "tw")).distinct()
-    both = F.size(F.array_intersect("hw", "tw"))
-    of_title, of_hint = both / F.size("tw"), both / F.size("hw")
-    hk, tk = tx.match_key(F.col("hint")), tx.match_key(F.col("title"))
-    base = F.when((of_title == 1) & (of_hint == 1), 1.0).otherwise(0.75 * of_title + 0.25 * of_hint)
-    score = F.when(tx.boundary_contains(hk, tk), F.greatest(base, F.lit(0.98))).when((F.size("hw") >= 3) & tx.boundary_contains(tk, hk), F.greatest(base, F.lit(0.93))).when(of_hint < 0.75, F.least(base, F.lit(0.78))).otherwise(base)
+    rarest = tw.join(rarity, "word").withColumn("r", F.row_number().over(first)).where("r = 1").select("key", "title", "word")
+    by_title = h.select("hint", F.explode("hw").alias("word")).join(rarest, "word")
+    ht = h.select("hint", terms(F.col("hint")).alias("ht"))
+    one = ht.select("hint", "ht", F.explode("ht").alias("word")).join(rarity, "word", "left").withColumn("r", F.row_number().over(Window.partitionBy("hint").orderBy(F.coalesce("n", F.lit(0)), "word")))
+    may_miss = F.size("ht") - F.ceil(F.size("ht") * 0.75) + 1
+    by_hint = one.where(F.col("r") <= may_miss).select("hint", "word").join(tw, "word")
+    pairs = by_hint.select("hint", "key", "title").unionByName(by_title.select("hint", "key", "title")).distinct()
+    q, c, hk, tk = terms(F.col("hint")), terms(F.col("title")), tx.match_key(F.col("hint")), tx.match_key(F.col("title"))
+    covered = F.try_divide(F.size(F.array_intersect(q, c)), F.size(q))
+    base = overlap(F.col("hint"), F.col("title"))
+    same = (F.size(q) >= 3) & tx.boundary_contains(tk, hk) & (_kind(hk) == _kind(tk))
+    score = F.when(tx.boundary_contains(hk, tk), F.greatest(base, F.lit(0.98))).when(F.coalesce(same, F.lit(False)), F.greatest(base, F.lit(0.93))).when(covered < 0.75, F.least(base, F.lit(0.78))).otherwise(base)
     per = pairs.withColumn("score", F.round(score, 4)).where(F.col("score") >= least).groupBy("hint", "key").agg(F.max("score").alias("score"))
     order = Window.partitionBy("hint").orderBy(F.desc("score"), "key")
     ranked = per.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("score").over(order))
-    return ranked.where((F.col("r") == 1) & (F.col("second").isNull() | (F.col("score") - F.col("second") > gap))).select("hint", "key", "score")
+    return ranked.where((F.col("r") == 1) & (F.col("second").isNull() | (F.col("second") < F.round(F.col("score") - gap, 6)))).select("hint", "key", "score")

@@ -94,14 +94,26 @@ FROM o {" ".join(f"LEFT JOIN n n_{k} ON n_{k}.{key} = o.{key} AND n_{k}.ord = o.
 _ATTACHED = "(SELECT unit_id, content FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY ingested_at DESC, content DESC NULLS LAST, source_type DESC NULLS LAST) AS _r FROM units WHERE unit_id IS NOT NULL) WHERE _r = 1 AND source_type = 'attachment')"
 _WORDS = "list_distinct(list_filter(string_split({0}, ' '), lambda w: w <> ''))"
 
+_BODY = {
+    "phan": r"(?i)^Phần\s+(thứ\s+\p{L}+|[IVXLCDM\d]+)", "chuong": r"(?i)^Chương\s+([IVXLCDM\d]+)", "muc": r"(?i)^Mục\s+(\d+|[IVXLCDM]+)", "tieu_muc": r"(?i)^Tiểu\s*mục\s+(\d+|[IVXLCDM]+)",
+    "dieu": r"(?i)^Điều\s+(\d+[a-zA-Z]*)", "khoan": r"^(\d+)\.", "diem": r"(?i)^([a-zđ])\)",
+}
+_BODY_NAMES = {"phan": "Phần", "chuong": "Chương", "muc": "Mục", "tieu_muc": "Tiểu mục", "dieu": "Điều", "khoan": "Khoản", "diem": "Điểm"}
+_ANNEX = {"roman": r"^([IVXLCDM]+)\.\s", "alpha": r"^([A-ZĐ])\.\s", "decimal_1": r"^(\d+)\.\s", "decimal_2": r"^(\d+\.\d+)\.?\s", "decimal_3": r"^(\d+(?:\.\d+){2,})\.?\s", "point": r"^([a-zđ])\)\s*", "bullet": r"^([-–•])\s"}
+_ANNEX_NAMES = {"roman": "Mục", "alpha": "Phần", "decimal_1": "", "decimal_2": "", "decimal_3": "", "point": "Điểm", "bullet": ""}
+_ACTS = "(sửa đổi|bổ sung|thay thế|bãi bỏ|hủy bỏ|đính chính)[^.;]{0,100}?(điều|khoản|điểm|phụ lục|mẫu số|cụm từ|thông tư|nghị định|quyết định)"
+_LINE = r"^([^:\n]{2,80}):\s*(.*)$"
+_CONTENT = "list_distinct(list_filter(string_split({0}, ' '), lambda w: len(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN ('ban','cac','cho','co','cua','duoc','hanh','hoac','kem','khong','la','mau','mot','nay','ngay','nam','nhung','phai','phu','quy','so','tai','theo','thang','trong','va','ve','voi','doi','dinh','luc')))"
+_KIND = "CASE " + " ".join(f"WHEN starts_with({{0}}, '{k}') THEN '{k}'" for k in ("bo luat", "luat", "nghi dinh", "thong tu", "quyet dinh", "nghi quyet")) + " END"
+
 SQL = {
-    "document_outline": _outline_sql("documents", "doc_id", "text", ol.LEVELS, ol.NAMES),
-    "annex_outline": _outline_sql(_ATTACHED, "unit_id", "content", ol.ANNEX_LEVELS, ol.ANNEX_NAMES),
+    "document_outline": _outline_sql("documents", "doc_id", "text", _BODY, _BODY_NAMES),
+    "annex_outline": _outline_sql(_ATTACHED, "unit_id", "content", _ANNEX, _ANNEX_NAMES),
     "amendment_mentions": f"""WITH s AS (SELECT sentence_id, lower(concat_ws(' ', context_text, text)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY ingested_at DESC, context_text DESC NULLS LAST, text DESC NULLS LAST) AS _r FROM sentences WHERE sentence_id IS NOT NULL) WHERE _r = 1),
-x AS (SELECT sentence_id, unnest(regexp_extract_all(t, '{mn.AMENDMENT.lower()}', 1)) AS action, unnest(regexp_extract_all(t, '{mn.AMENDMENT.lower()}', 2)) AS target FROM s)
+x AS (SELECT sentence_id, unnest(regexp_extract_all(t, '{_ACTS}', 1)) AS action, unnest(regexp_extract_all(t, '{_ACTS}', 2)) AS target FROM s)
 SELECT action, target, count(DISTINCT sentence_id) AS n_sentences FROM x GROUP BY ALL""",
     "form_fields": f"""WITH l AS (SELECT unit_id, regexp_replace(line, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS line FROM (SELECT unit_id, unnest(string_split_regex(content, '\\r\\n|\\r|\\n')) AS line FROM {_ATTACHED} WHERE content IS NOT NULL)),
-f AS (SELECT unit_id, regexp_replace(regexp_extract(line, '{mn.FORM_LINE}', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS label, regexp_replace(regexp_extract(line, '{mn.FORM_LINE}', 2), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS value FROM l WHERE regexp_matches(line, '{mn.FORM_LINE}'))
+f AS (SELECT unit_id, regexp_replace(regexp_extract(line, '{_LINE}', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS label, regexp_replace(regexp_extract(line, '{_LINE}', 2), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS value FROM l WHERE regexp_matches(line, '{_LINE}'))
 SELECT label, nullif(regexp_replace(value, '^[.…_\\s-]+$', ''), '') IS NOT NULL AS filled, count(DISTINCT unit_id) AS n_units FROM f GROUP BY ALL""",
     "mined_candidates": """WITH s AS (SELECT q.vec_id AS candidate, v.vec_id AS item, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY similarity DESC, item) AS r FROM s)
@@ -115,11 +127,11 @@ f AS (SELECT question_id, passage_id, score + CASE WHEN ok THEN 2.5 WHEN NOT ok
 e AS (SELECT *, bool_or(keep) OVER (PARTITION BY question_id) AS any_kept FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final_score DESC, passage_id) AS rank FROM e WHERE keep OR NOT any_kept)
 SELECT question_id, passage_id, round(final_score, 4) AS final_score, rank FROM r WHERE rank <= 5""",
-    "title_resolution": f"""WITH h AS (SELECT hint, hk, {_WORDS.format('hk')} AS hw FROM (SELECT DISTINCT document_title AS hint, {KEY_SQL('document_title')} AS hk FROM (SELECT document_title FROM sentences UNION ALL SELECT title FROM attachments) WHERE document_title IS NOT NULL) WHERE hk <> ''),
-t AS (SELECT key, tk, {_WORDS.format('tk')} AS tw FROM (SELECT DISTINCT document_number AS key, title, {KEY_SQL('title')} AS tk FROM documents WHERE document_number IS NOT NULL AND title IS NOT NULL) WHERE tk <> ''),
-p AS (SELECT hint, key, hk, tk, len(hw) AS nh, len(list_intersect(hw, tw)) * 1.0::DOUBLE / len(tw) AS ct, len(list_intersect(hw, tw)) * 1.0::DOUBLE / len(hw) AS ch FROM h, t),
-b AS (SELECT *, CASE WHEN ct = 1 AND ch = 1 THEN 1.0::DOUBLE ELSE 0.75 * ct + 0.25 * ch END AS base FROM p),
-s AS (SELECT hint, key, max(round(CASE WHEN contains(' ' || hk || ' ', ' ' || tk || ' ') THEN greatest(base, 0.98) WHEN nh >= 3 AND contains(' ' || tk || ' ', ' ' || hk || ' ') THEN greatest(base, 0.93) WHEN ch < 0.75 THEN least(base, 0.78) ELSE base END, 4)) AS score FROM b GROUP BY ALL),
+    "title_resolution": f"""WITH h AS (SELECT hint, hk, {_CONTENT.format('hk')} AS hw FROM (SELECT DISTINCT document_title AS hint, {KEY_SQL('document_title')} AS hk FROM (SELECT document_title FROM sentences UNION ALL SELECT title FROM attachments) WHERE document_title IS NOT NULL) WHERE hk <> ''),
+t AS (SELECT key, tk, {_CONTENT.format('tk')} AS tw FROM (SELECT DISTINCT document_number AS key, title, {KEY_SQL('title')} AS tk FROM documents WHERE document_number IS NOT NULL AND title IS NOT NULL) WHERE tk <> ''),
+p AS (SELECT hint, key, hk, tk, len(hw) AS nh, CASE WHEN len(tw) > 0 AND len(hw) > 0 THEN len(list_intersect(hw, tw)) * 1.0::DOUBLE / len(tw) ELSE 0 END AS ct, CASE WHEN len(hw) > 0 THEN len(list_intersect(hw, tw)) * 1.0::DOUBLE / len(hw) ELSE 0 END AS ch, len(hw) > 0 AND len(tw) > 0 AS worded FROM h, t),
+b AS (SELECT *, CASE WHEN NOT worded THEN 0 WHEN contains(' ' || hk || ' ', ' ' || tk || ' ') THEN 1.0::DOUBLE ELSE 0.75 * ct + 0.25 * ch END AS base FROM p),
+s AS (SELECT hint, key, max(round(CASE WHEN contains(' ' || hk || ' ', ' ' || tk || ' ') THEN greatest(base, 0.98) WHEN nh >= 3 AND contains(' ' || tk || ' ', ' ' || hk || ' ') AND {_KIND.format('hk')} = {_KIND.format('tk')} THEN greatest(base, 0.93) WHEN nh > 0 AND ch < 0.75 THEN least(base, 0.78) ELSE base END, 4)) AS score FROM b GROUP BY ALL),
 r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM s WHERE score >= 0.82 WINDOW w AS (PARTITION BY hint ORDER BY score DESC, key))
-SELECT hint, key, score FROM r WHERE r = 1 AND (second IS NULL OR score - second > 0.08)""",
+SELECT hint, key, score FROM r WHERE r = 1 AND (second IS NULL OR second < round(score - 0.08, 6))""",
 }

@@ -226,13 +226,14 @@ def _cited() -> str:
 
 
 _EXTRACT = _cited()
+_SURFACE = r"""trim(regexp_replace(lower(trim(regexp_replace(surface, '[\s\p{Z}]+', ' ', 'g'))), '^["''“”‘’(\[{]+|["''“”‘’)\]};:,.]+$', '', 'g'))"""
 _VOCAB = f"""r AS (SELECT * FROM (SELECT {KEY_SQL('raw')} AS surface_key, mention_type AS entity_label, raw, document_id, coalesce(occurrence_count, 1) AS k FROM m) WHERE surface_key <> ''),
 s AS (SELECT surface_key, entity_label, raw, sum(k) AS k FROM r GROUP BY ALL),
 t AS (SELECT surface_key, entity_label, sum(k) AS n, arg_min(raw, {{'o': -k, 'raw': raw}}) AS surface FROM s GROUP BY ALL),
 d AS (SELECT surface_key, entity_label, count(DISTINCT document_id) AS n_documents FROM r GROUP BY ALL),
 l AS (SELECT surface_key, count(DISTINCT entity_label) AS n_labels FROM r GROUP BY ALL),
 v AS (SELECT surface_key, entity_label, n::BIGINT AS n, n_documents, surface, n_labels,
-  CASE WHEN length(surface_key) < 2 OR regexp_matches(surface_key, '^[\\d\\s./-]+$') THEN 'reject' WHEN n_labels > 1 THEN 'conflict' WHEN n >= 3 THEN 'accept' ELSE 'review' END AS status
+  CASE WHEN regexp_matches({_SURFACE}, '(?i)^(điều\\s+\\d+[a-z]?|khoản\\s+\\d+|điểm\\s+[a-zđ]|phụ\\s+lục\\s+([ivxlcdm]+|\\d+|[a-z])|mẫu\\s+(số\\s+)?[0-9a-z_./-]+|chương\\s+([ivxlcdm]+|\\d+)|mục\\s+([ivxlcdm]+|\\d+)|qcvn\\s+.+|\\d+/\\d{{4}}/[a-zđ]+.*|(thông tư|nghị định|luật|quyết định|nghị quyết)\\s+(này|số\\s+.+))$') OR length({_SURFACE}) <= 2 OR regexp_matches({_SURFACE}, '^[0-9]+$') THEN 'reject' WHEN n_labels > 1 THEN 'conflict' WHEN n >= 3 THEN 'accept' ELSE 'review' END AS status
   FROM t JOIN d USING (surface_key, entity_label) JOIN l USING (surface_key))"""
 _LINKS = _EXTRACT + ",\nk AS (SELECT unit_id AS passage, mention_type || ':' || label AS entity, 1.0 AS weight FROM x WHERE label <> 'này')"
 _WEIGHT = "CASE coalesce(mention_type, 'unknown') WHEN 'point' THEN 1.0 WHEN 'clause' THEN 0.9 WHEN 'article' THEN 0.8 WHEN 'form' THEN 0.75 WHEN 'appendix' THEN 0.7 WHEN 'legal_document' THEN 0.5 WHEN 'document' THEN 0.5 WHEN 'unknown' THEN 0.5 ELSE 0.6 END * least(greatest(CASE WHEN resolution.confidence IS NULL OR resolution.confidence = 0 THEN 1.0 ELSE resolution.confidence END, 0.0), 1.0)"

@@ -147,14 +147,14 @@ SELECT question_id, target AS passage_id, round(sum(score * weight), 4) AS refer
 numbers AS (SELECT document_id, max_by(document_number, ingested_at) AS document_number FROM units WHERE document_number IS NOT NULL AND document_id IS NOT NULL GROUP BY 1),
 gold AS (SELECT DISTINCT question_id, benchmark_group, is_multi_reference, gold_doc_numbers FROM gold_questions),
 top AS (SELECT r.question_id, r.result_rank AS rank, n.document_number AS doc FROM runs r LEFT JOIN numbers n USING (document_id) WHERE r.result_rank <= 5),
-hits AS (SELECT g.question_id, t.doc, min(t.rank) AS rank FROM gold g JOIN top t USING (question_id) WHERE list_contains(g.gold_doc_numbers, t.doc) GROUP BY ALL),
+hits AS (SELECT g.question_id, t.doc, min(t.rank) AS rank, count(*) AS places FROM gold g JOIN top t USING (question_id) WHERE list_contains(g.gold_doc_numbers, t.doc) GROUP BY ALL),
 per AS (
   SELECT g.question_id, g.benchmark_group, g.is_multi_reference, len(list_distinct(g.gold_doc_numbers)) AS n_gold,
-         count(h.doc) AS n_hit, coalesce(1.0 / min(h.rank), 0) AS rr, coalesce(sum(1.0 / log2(h.rank + 1)), 0) AS dcg
+         count(h.doc) AS n_hit, coalesce(sum(h.places), 0) AS places, coalesce(1.0 / min(h.rank), 0) AS rr, coalesce(sum(1.0 / log2(h.rank + 1)), 0) AS dcg
   FROM gold g LEFT JOIN hits h USING (question_id) GROUP BY ALL),
 scored AS (
   SELECT *, CASE WHEN n_hit > 0 THEN 1.0 ELSE 0 END AS hit, CASE WHEN n_gold > 0 THEN n_hit * 1.0 / n_gold ELSE 0 END AS recall,
          CASE WHEN n_gold > 0 THEN dcg / list_sum(list_transform(range(1, least(n_gold, 5) + 1), lambda i: 1.0 / log2(i + 1))) ELSE 0 END AS ndcg FROM per)
-SELECT benchmark_group, is_multi_reference, count(*) AS n_questions, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg
+SELECT benchmark_group, is_multi_reference, count(*) AS n_questions, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(places / 5.0::DOUBLE), 6) AS precision, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg
 FROM scored GROUP BY GROUPING SETS ((), (benchmark_group), (is_multi_reference))""",
 }

@@ -51,7 +51,7 @@ def test_events_and_dated_repeals(spark):
 def test_titles(spark):
     inventory = spark.createDataFrame([("1", "Luật Đường bộ"), ("2", "Nghị định về giấy phép lái xe hạng nặng"), ("3", "Nghị định về giấy phép lái xe hạng nhẹ"), ("4", None)], "k string, t string")
     hints = spark.createDataFrame([("theo Luật đường bộ mới",), ("Nghị định về giấy phép lái xe hạng",), ("cầu phao",), (None,), ("",)], "h string")
-    assert [tuple(r) for r in titles.resolve(hints, "h", inventory, "k", "t").collect()] == [("theo Luật đường bộ mới", "1", 0.98)]
+    assert [tuple(r) for r in titles.resolve(hints, "h", inventory, "k", "t").collect()] == [("theo Luật đường bộ mới", "1", 1.0)]
     assert titles.resolve(hints.limit(0), "h", inventory, "k", "t").collect() == []
 
 
