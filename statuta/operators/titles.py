@@ -46,24 +46,26 @@ def _kind(key: Column) -> Column:
 def resolve(hints: DataFrame, hint: str, titles: DataFrame, key: str, title: str, least: float = 0.82, gap: float = 0.08) -> DataFrame:
     """``hint, key, score``: the best title of each hint, ties by key; none where the second
     best document comes within ``gap``. Null and wordless hints and titles match nothing."""
-    words = lambda c: F.when(F.size(terms(F.col(c))) > 0, terms(F.col(c))).otherwise(F.array_distinct(tx.tokens(F.col(c))))
-    h = hints.select(F.col(hint).alias("hint")).where("hint is not null").distinct().withColumn("hw", F.array_distinct(tx.tokens(F.col("hint")))).where(F.size("hw") > 0)
-    t = titles.select(F.col(key).alias("key"), F.col(title).alias("title")).where("key is not null and title is not null").distinct().withColumn("tw", words("title")).where(F.size("tw") > 0)
-    tw = t.select("key", "title", F.explode("tw").alias("word"))
+    sides = lambda df, c, key, own: df.withColumn(key, tx.match_key(F.col(c))).where(F.col(key) != "").withColumn(own, terms(F.col(c)))
+    h = sides(hints.select(F.col(hint).alias("hint")).where("hint is not null").distinct(), "hint", "hk", "ht")
+    t = sides(titles.select(F.col(key).alias("key"), F.col(title).alias("title")).where("key is not null and title is not null").distinct(), "title", "tk", "tt")
+    words = lambda key, own: F.when(F.size(own) > 0, F.col(own)).otherwise(F.array_distinct(F.split(key, " ")))
+    tw = t.select("key", "title", "tk", "tt", F.explode(words("tk", "tt")).alias("word"))
     rarity = tw.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("key", "title").orderBy("n", "word")
-    rarest = tw.join(rarity, "word").withColumn("r", F.row_number().over(first)).where("r = 1").select("key", "title", "word")
-    by_title = h.select("hint", F.explode("hw").alias("word")).join(rarest, "word")
-    ht = h.select("hint", terms(F.col("hint")).alias("ht"))
-    one = ht.select("hint", "ht", F.explode("ht").alias("word")).join(rarity, "word", "left").withColumn("r", F.row_number().over(Window.partitionBy("hint").orderBy(F.coalesce("n", F.lit(0)), "word")))
+    rarest = tw.join(rarity, "word").withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "n")
+    by_title = h.select("hint", "hk", "ht", F.explode(F.array_distinct(F.split("hk", " "))).alias("word")).join(rarest, "word")
+    one = h.select("hint", "hk", "ht", F.explode("ht").alias("word")).join(rarity, "word", "left").withColumn("r", F.row_number().over(Window.partitionBy("hint").orderBy(F.coalesce("n", F.lit(0)), "word")))
     may_miss = F.size("ht") - F.ceil(F.size("ht") * 0.75) + 1
-    by_hint = one.where(F.col("r") <= may_miss).select("hint", "word").join(tw, "word")
-    pairs = by_hint.select("hint", "key", "title").unionByName(by_title.select("hint", "key", "title")).distinct()
-    q, c, hk, tk = terms(F.col("hint")), terms(F.col("title")), tx.match_key(F.col("hint")), tx.match_key(F.col("title"))
-    covered = F.try_divide(F.size(F.array_intersect(q, c)), F.size(q))
-    base = overlap(F.col("hint"), F.col("title"))
+    by_hint = one.where(F.col("r") <= may_miss).select("hint", "hk", "ht", "word").join(tw, "word")
+    columns = ["hint", "hk", "ht", "key", "title", "tk", "tt"]
+    pairs = by_hint.select(*columns).unionByName(by_title.select(*columns)).dropDuplicates(["hint", "key", "title"])
+    q, c, hk, tk = F.col("ht"), F.col("tt"), F.col("hk"), F.col("tk")
+    both, inside = F.size(F.array_intersect(q, c)), tx.boundary_contains(hk, tk)
+    covered = F.try_divide(both, F.size(q))
+    base = F.when((F.size(q) == 0) | (F.size(c) == 0), 0.0).when(inside, 1.0).otherwise(0.75 * both / F.size(c) + 0.25 * covered)
     same = (F.size(q) >= 3) & tx.boundary_contains(tk, hk) & (_kind(hk) == _kind(tk))
-    score = F.when(tx.boundary_contains(hk, tk), F.greatest(base, F.lit(0.98))).when(F.coalesce(same, F.lit(False)), F.greatest(base, F.lit(0.93))).when(covered < 0.75, F.least(base, F.lit(0.78))).otherwise(base)
+    score = F.when(inside, F.greatest(base, F.lit(0.98))).when(F.coalesce(same, F.lit(False)), F.greatest(base, F.lit(0.93))).when(covered < 0.75, F.least(base, F.lit(0.78))).otherwise(base)
     per = pairs.withColumn("score", F.round(score, 4)).where(F.col("score") >= least).groupBy("hint", "key").agg(F.max("score").alias("score"))
     order = Window.partitionBy("hint").orderBy(F.desc("score"), "key")
     ranked = per.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("score").over(order))

@@ -44,3 +44,47 @@ def override(units: DataFrame, overrides: DataFrame) -> DataFrame:
         out = out.join(rows, ["document_id", *level], "left")
     hit = F.coalesce("o0", "o1", "o2")
     return out.withColumn("valid_from", F.when(hit.isNotNull(), hit["new_from"]).otherwise(F.col("valid_from"))).drop("o0", "o1", "o2")
+
+
+def scope(question: Column, today: Column) -> Column:
+    """(kind, from, to) of the time a question asks about: the present, a day it names, or a
+    year; null if it names none. ``today`` is given, never read from the clock."""
+    now = question.rlike(r"(?iuU)\b(?:hiện nay|hiện tại|hiện hành|bây giờ|hôm nay)\b")
+    day = F.try_to_date(F.regexp_extract(question, r"(?U)\b(\d{1,2}/\d{1,2}/\d{4})\b", 1), "d/M/yyyy")
+    year = F.regexp_extract(question, r"(?iuU)\bnăm\s+((?:19|20)\d{2})\b", 1)
+    first = F.try_to_date(F.concat(F.nullif(year, F.lit("")), F.lit("-01-01")), "yyyy-MM-dd")
+    slashed = question.rlike(r"(?U)\b\d{1,2}/\d{1,2}/\d{4}\b")
+    out = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("from_day"), b.alias("to_day"))
+    return F.when(now, out("point", today, today)).when(slashed, F.when(day.isNotNull(), out("point", day, day))).when(first.isNotNull(), out("year", first, F.add_months(first, 12)))
+
+
+def active_in(start: Column, end: Column, asked: Column) -> Column:
+    """Whether an interval covers the day, or touches the year, of a scope; open ends never
+    exclude; null without a scope."""
+    point = ~(F.coalesce(asked["from_day"] < start, F.lit(False)) | F.coalesce(asked["from_day"] >= end, F.lit(False)))
+    year = ~(F.coalesce(start >= asked["to_day"], F.lit(False)) | F.coalesce(end <= asked["from_day"], F.lit(False)))
+    return F.when(asked.isNull(), None).otherwise(F.when(asked["kind"] == "point", point).otherwise(year))
+
+
+def document_dates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (document_id, document_number) with the register's dates, by id, else by number."""
+    by_id = known.select("document_id", F.struct("valid_from", "valid_to").alias("_i"))
+    number = tx.compact_key(tx.document_number(F.col("document_number")))
+    by_number = known.where("document_number is not null").groupBy(number.alias("_k")).agg(F.min(F.struct("valid_from", "valid_to")).alias("_n"))
+    out = rows.join(by_id, "document_id", "left").withColumn("_k", number).join(by_number, "_k", "left")
+    hit = F.coalesce("_i", "_n")
+    return out.withColumn("valid_from", hit["valid_from"]).withColumn("valid_to", hit["valid_to"]).drop("_i", "_n", "_k")
+
+
+def index(events: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``document_key, document_id, document_number, effective_from, effective_to, in_corpus``:
+    per document (by number, else id) the best start and end of its events; documents that
+    are only ended by others come in as outside of the corpus. ``events``: document_number,
+    document_id, event_type, event_date, confidence; ``corpus``: document_id, document_number."""
+    key = lambda: F.coalesce(F.nullif(tx.compact_key(tx.document_number(F.col("document_number"))), F.lit("")), F.col("document_id"))
+    keyed = events.withColumn("document_key", key()).where("document_key is not null and event_date is not null")
+    best = lambda kind, name: F.min_by(F.when(F.col("event_type") == kind, F.col("event_date")), F.when(F.col("event_type") == kind, F.struct((-F.col("confidence")).alias("c"), F.col("event_date").alias("d")))).alias(name)
+    dated = keyed.groupBy("document_key").agg(best("document_start", "effective_from"), best("repeal", "effective_to"), F.max("document_number").alias("_number"))
+    held = corpus.withColumn("document_key", key()).where("document_key is not null").groupBy("document_key").agg(F.max("document_id").alias("document_id"), F.max("document_number").alias("document_number"))
+    out = held.join(dated, "document_key", "full")
+    return out.select("document_key", "document_id", F.coalesce("document_number", "_number").alias("document_number"), "effective_from", "effective_to", F.col("document_id").isNotNull().alias("in_corpus"))
