@@ -24,36 +24,25 @@ def _fold_maps() -> tuple[dict[str, str], dict[str, str]]:
     return one, several
 
 
-def _class(chars) -> str:
-    """A character class of ranges; long lists of single characters are slow to match."""
-    runs: list[list[int]] = []
-    for cp in sorted(map(ord, chars)):
-        if runs and cp == runs[-1][1] + 1:
-            runs[-1][1] = cp
-        else:
-            runs.append([cp, cp])
-    return "[" + "".join(f"{chr(a)}-{chr(b)}" if b > a else chr(a) for a, b in runs) + "]"
-
-
 def fold(col: Column) -> Column:
     """Lower case without accents (đ as d) and with compatibility forms resolved (ﬁ as fi,
     ½ as 12, full width as plain); other characters outside ASCII are dropped."""
     one, several = _fold_maps()
-    low = F.lower(col)
+
+    def ascii_only(text: Column) -> Column:
+        return F.regexp_replace(F.translate(text, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+
     usual = {c: p for c, p in several.items() if c in _USUAL}
-    plain = low
+    plain = F.lower(col)
     for c, p in usual.items():
         plain = F.replace(plain, F.lit(c), F.lit(p))
-    low = F.when(low.rlike(_class(usual)), plain).otherwise(low)
     # rare: only texts that hold such a character are taken apart
     rest = {c: p for c, p in several.items() if c not in _USUAL}
     each = F.create_map(*[F.lit(x) for pair in rest.items() for x in pair])
-    apart = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(each[c], c)), "")
-    beyond = "[\\x{180}-\\x{24F}ĲĳĿŀŉ]|[^\\x{0}-\\x{24F}\\x{300}-\\x{36F}\\x{1E00}-\\x{1EFF}\\x{2010}-\\x{201F}]"  # quick to tell
-    low = F.when(low.rlike(beyond) & low.rlike(_class(rest)), apart).otherwise(low)
-    return F.lower(F.regexp_replace(F.translate(low, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", ""))
-
-
+    apart = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(each[c], c)), "")
+    has = lambda chars: F.length(F.translate(col, "".join(chars), "")) < F.length(col)  # noqa: E731  (faster than a pattern)
+    full = F.lower(ascii_only(F.when(has(rest), apart).otherwise(plain)))
+    return F.when(has(several), full).otherwise(ascii_only(F.lower(col)))
 #: Characters of several that occur in ordinary text: fractions, dots, signs, ligatures, numerals.
 _USUAL = frozenset("¼½¾…‥™№℃℉⅓⅔⅛⅜⅝⅞ﬀﬁﬂﬃﬄⅱⅲⅳⅵⅶⅷⅸⅺⅻ㎡㎢㎏㎝㎞㎜")
 

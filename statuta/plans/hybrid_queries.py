@@ -17,24 +17,36 @@ from statuta.operators.corpus import latest, present
 from statuta.plans import graph_queries as gq
 from statuta.plans import retrieval_queries as rq
 from statuta.plans.text_queries import KEY_SQL
-from statuta.session import table
+from statuta.session import cut, table
 
 #: How a citation is spoken in a question.
-SPOKEN = {"article": "Điều ", "clause": "Khoản ", "point": "Điểm ", "chapter": "Chương ", "section": "Mục ", "appendix": "Phụ lục ", "form": "Mẫu số ", "document": ""}
+SPOKEN = {"article": "Điều ", "clause": "Khoản ", "point": "Điểm ", "chapter": "Chương ", "section": "Mục ", "appendix": "Phụ lục ", "form": "Mẫu số ", "document": "", "topic": ""}
+
+
+#: Topics linked to passages beside citations, with their labels.
+TOPICS = {
+    "phanh": "VEHICLE_CONDITION_OR_EQUIPMENT", "lốp": "VEHICLE_CONDITION_OR_EQUIPMENT", "gương": "VEHICLE_CONDITION_OR_EQUIPMENT", "biển số": "VEHICLE_CONDITION_OR_EQUIPMENT", "kết cấu": "VEHICLE_CONDITION_OR_EQUIPMENT",
+    "phù hiệu": "DOCUMENT", "vạch kẻ": "INFRASTRUCTURE", "hầm": "INFRASTRUCTURE", "bến xe": "INFRASTRUCTURE", "chủ xe": "ACTOR", "tín hiệu": "INFRASTRUCTURE", "kiểm định": "BEHAVIOR",
+}
 
 
 def _links(spark, sf_dir):
-    return gq._links(spark, sf_dir).select(F.concat("passage", F.lit(".passage")).alias("passage"), "entity", "weight")
+    """Citations, and topics at the weight of a gazetteer mention."""
+    cited = gq._links(spark, sf_dir).select(F.concat("passage", F.lit(".passage")).alias("passage"), "entity", "weight")
+    topic = F.create_map(*[F.lit(x) for pair in TOPICS.items() for x in pair])
+    texts = gq._units(spark, sf_dir, "content").select("unit_id", tx.match_key(F.col("content")).alias("t"), F.explode(F.array(*map(F.lit, TOPICS))).alias("word"))
+    told = texts.where(tx.boundary_contains(F.col("t"), tx.match_key(F.col("word")))).select(F.concat("unit_id", F.lit(".passage")).alias("passage"), F.concat(F.lit("topic:"), "word").alias("entity"), gz.weight(topic[F.col("word")], F.col("word"), F.lit("gazetteer"), F.lit(1.0)).alias("weight"))
+    return cited.unionByName(told)
 
 
 def _edges(spark, sf_dir):
     return gr.entity_links(_links(spark, sf_dir)).select("passage", "entity", "weight")
 
 
-def _aliases(spark, sf_dir):
+def _aliases(edges):
     kind, label = F.substring_index("entity", ":", 1), F.regexp_replace("entity", "^[^:]*:", "")
     spoken = F.create_map(*[F.lit(x) for pair in SPOKEN.items() for x in pair])
-    return _links(spark, sf_dir).select("entity").distinct().select("entity", F.concat(spoken[kind], label).alias("surface"), F.when(kind == "document", 1.0).otherwise(0.5).alias("graph_weight"))
+    return edges.select("entity").distinct().select("entity", F.concat(spoken[kind], label).alias("surface"), F.when(kind.isin("document", "topic"), 1.0).otherwise(0.5).alias("graph_weight"))
 
 
 def _questions(spark, sf_dir):
@@ -65,13 +77,14 @@ def reference_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that questions name."""
-    exact = rt.exact_entities(_questions(spark, sf_dir), "question_id", "question", _aliases(spark, sf_dir))
+    exact = rt.exact_entities(_questions(spark, sf_dir), "question_id", "question", _aliases(_links(spark, sf_dir)))
     return rt.activate(exact).select(F.col("q").alias("question_id"), "entity", "activation")
 
 
 def graph_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exact = rt.exact_entities(_questions(spark, sf_dir), "question_id", "question", _aliases(spark, sf_dir))
-    out = rt.graph_scores(rt.activate(exact), _edges(spark, sf_dir), 300)
+    edges = cut(_edges(spark, sf_dir))  # read by the aliases and the links
+    exact = rt.exact_entities(_questions(spark, sf_dir), "question_id", "question", _aliases(edges))
+    out = rt.graph_scores(rt.activate(exact), edges, 300)
     return out.select(F.col("q").alias("question_id"), F.col("passage").alias("passage_id"), F.round("score", 6).alias("score"))
 
 
@@ -85,7 +98,8 @@ def _references(spark, sf_dir):
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions to their five best passages, by the configuration without embeddings."""
     passages = rq._passages(spark, sf_dir).select(F.concat("unit_id", F.lit(".passage")).alias("passage_id"), F.col("content").alias("index_text"))
-    out = rt.retrieve(_questions(spark, sf_dir), passages, _edges(spark, sf_dir), _references(spark, sf_dir), _aliases(spark, sf_dir), rq.LEXICAL, k=5)
+    edges = cut(_edges(spark, sf_dir))  # read by the aliases and the links
+    out = rt.retrieve(_questions(spark, sf_dir), passages, edges, _references(spark, sf_dir), _aliases(edges), rq.LEXICAL, k=5)
     return out.select(F.col("q").alias("question_id"), F.col("passage").alias("passage_id"), F.round("score", 4).alias("score"), "rank")
 
 
@@ -216,11 +230,12 @@ QUERIES = {
     )
 }
 
-_L = gq._LINKS + ",\nlk AS (SELECT passage || '.passage' AS passage, entity, ln(1 + sum(weight)::DOUBLE) AS weight FROM k GROUP BY ALL)"
+_TOPICS = "tp(word, w) AS (VALUES ('phanh', 0.463125), ('lốp', 0.463125), ('gương', 0.463125), ('biển số', 0.7125), ('kết cấu', 0.7125), ('phù hiệu', 0.7125), ('vạch kẻ', 0.6), ('hầm', 0.39), ('bến xe', 0.6), ('chủ xe', 0.6375), ('tín hiệu', 0.6), ('kiểm định', 0.8625))"
+_L = gq._LINKS + f",\n{_TOPICS},\ntt AS (SELECT unit_id, {KEY_SQL('content')} AS t FROM u),\nlk AS (SELECT passage || '.passage' AS passage, entity, ln(1 + sum(weight)::DOUBLE) AS weight FROM (SELECT passage, entity, weight::DOUBLE AS weight FROM k UNION ALL SELECT unit_id, 'topic:' || word, w::DOUBLE FROM tt, tp WHERE contains(' ' || t || ' ', ' ' || {KEY_SQL('word')} || ' ')) GROUP BY ALL)"
 _Q = f"q AS (SELECT question_id, {KEY_SQL('question')} AS t FROM (SELECT DISTINCT ON (question_id) question_id, question FROM gold_questions WHERE question_id IS NOT NULL))"
-_SAID = "CASE split_part(entity, ':', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (("article", "Điều "), ("clause", "Khoản "), ("point", "Điểm "), ("chapter", "Chương "), ("section", "Mục "), ("appendix", "Phụ lục "), ("form", "Mẫu số "), ("document", ""))) + " END || regexp_replace(entity, '^[^:]*:', '')"
+_SAID = "CASE split_part(entity, ':', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (("article", "Điều "), ("clause", "Khoản "), ("point", "Điểm "), ("chapter", "Chương "), ("section", "Mục "), ("appendix", "Phụ lục "), ("form", "Mẫu số "), ("document", ""), ("topic", ""))) + " END || regexp_replace(entity, '^[^:]*:', '')"
 _ACTIVE = f"""{_L}, {_Q},
-al AS (SELECT entity, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s, CASE WHEN entity LIKE 'document:%' THEN 1.0::DOUBLE ELSE 0.5 END AS w FROM (SELECT entity, {KEY_SQL('said')} AS s FROM (SELECT DISTINCT entity, {_SAID} AS said FROM lk))),
+al AS (SELECT entity, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s, CASE WHEN entity LIKE 'document:%' OR entity LIKE 'topic:%' THEN 1.0::DOUBLE ELSE 0.5 END AS w FROM (SELECT entity, {KEY_SQL('said')} AS s FROM (SELECT DISTINCT entity, {_SAID} AS said FROM lk))),
 ac0 AS (SELECT question_id, entity, max(w) AS activation FROM q, al WHERE s <> '' AND contains(' ' || t || ' ', ' ' || s || ' ') GROUP BY ALL),
 ac AS (SELECT question_id, entity, activation FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY activation DESC, entity) AS r FROM ac0) WHERE r <= 20)"""
 _GRAPH = _ACTIVE + """,
