@@ -12,8 +12,9 @@ Three passes over the texts, none of which shuffles them:
    above the median in units of median minus quartile.
 3. Documents whose excess in words or classes reaches the limit are counted exactly.
 
-Guards: a text of fewer than LEAST_WORDS words, or of a language and length of which fewer
-than LEAST_DOCUMENTS are known, can't be judged by divergence and is counted exactly too.
+Guards: a text of fewer than LEAST_WORDS words, or of a language of which no length up to
+its own has LEAST_DOCUMENTS documents, can't be judged by divergence and is counted exactly
+too.
 
 The exact count (``repeated``): a word sequence is a repeat if it is said earlier in the
 text and has at least WORDS words, characters of scripts without spaces weighing PIECE of
@@ -308,18 +309,28 @@ def distances(tagged: DataFrame, shares: dict) -> DataFrame:
 
 
 def matched(measured: DataFrame) -> dict[tuple[str, int], tuple]:
-    """Per language and length: documents, and median and spread of both distances. Its
-    size is languages by lengths, of which there are four per doubling."""
+    """Per language and length: median and spread of both distances. Long texts are often
+    long because they repeat, and could be most of their length; as a longer text has no
+    less variety than a shorter one, a median counts only as far as those of shorter texts
+    go down. Lengths with fewer than LEAST_DOCUMENTS documents have the figures of the next
+    shorter one. The table is languages by lengths, of which there are four per doubling."""
     quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5], 1000).alias(c)
     rows = measured.groupBy("tag", "length").agg(F.count(F.lit(1)).alias("n"), quartiles("word_distance"), quartiles("class_distance")).collect()
-    spread = lambda q: (q[1], max(q[1] - q[0], _LEAST_SPREAD))
-    return {(r.tag, r.length): (r.n, *spread(r.word_distance), *spread(r.class_distance)) for r in rows}
+    out: dict[tuple[str, int], tuple] = {}
+    best: dict[str, tuple] = {}
+    for r in sorted(rows, key=lambda r: (r.tag, r.length)):
+        if r.n >= LEAST_DOCUMENTS:
+            now = [(q[1], max(q[1] - q[0], _LEAST_SPREAD)) for q in (r.word_distance, r.class_distance)]
+            best[r.tag] = tuple(min(pair) for pair in zip(now, best.get(r.tag, now)))
+        if r.tag in best:
+            out[r.tag, r.length] = (*best[r.tag][0], *best[r.tag][1])
+    return out
 
 
 def _excess(known: tuple | None, word: float, cls: float) -> tuple[float, float] | None:
-    if known is None or known[0] < LEAST_DOCUMENTS:
+    if known is None:
         return None
-    _, middle, spread, class_middle, class_spread = known
+    middle, spread, class_middle, class_spread = known
     return (word - middle) / spread, (cls - class_middle) / class_spread
 
 
@@ -331,7 +342,7 @@ def divergence(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
     measured = distances(tagged, shares)
     base = matched(measured)
     spark = df.sparkSession
-    rows = [(t, length, float(m), float(s), float(cm), float(cs)) for (t, length), (n, m, s, cm, cs) in base.items() if n >= LEAST_DOCUMENTS]
+    rows = [(t, length, *map(float, figures)) for (t, length), figures in base.items()]
     known = spark.createDataFrame(rows, "tag string, length int, m double, s double, cm double, cs double")
     enough = F.col("n_words") >= LEAST_WORDS
     out = measured.join(F.broadcast(known), ["tag", "length"], "left")  # languages by lengths
