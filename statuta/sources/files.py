@@ -5,8 +5,6 @@ asks for it to be kept aside. Nothing is inferred: schemas are given."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,28 +50,73 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.when(F.startswith("line", F.lit("{")), F.coalesce(parsed["query"], parsed["question"])).otherwise(F.col("line")).alias("query")).where("query is not null")
 
 
-def package_paths(root: str, marker: str) -> list[str]:
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def list_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern, sorted, on whatever file system it names."""
+    files, where = _file_system(spark, pattern)
+    return sorted(f.getPath().toString() for f in files.globStatus(where) or [])
+
+
+def package_paths(spark: SparkSession, root: str, marker: str) -> list[str]:
     """The root itself if it holds the marker file, else its sub-folders that do, sorted."""
-    if os.path.exists(os.path.join(root, marker)):
+    if list_files(spark, f"{root}/{marker}"):
         return [root]
-    if not os.path.isdir(root):
-        return []
-    return sorted(p.path for p in os.scandir(root) if p.is_dir() and os.path.exists(os.path.join(p.path, marker)))
+    return [p[: -len(marker) - 1] for p in list_files(spark, f"{root}/*/{marker}")]
+
+
+def first_found(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """The files of the first pattern that has any: a file, a folder's own, its packages'."""
+    return next((found for pattern in patterns if (found := list_files(spark, pattern))), [])
+
+
+def units_files(spark: SparkSession, path: str) -> list[str]:
+    """Unit files by precedence: the path itself if a file, main/units.jsonl in it, in its
+    packages, then older layouts."""
+    if path.endswith(".jsonl"):
+        return list_files(spark, path)
+    return first_found(spark, [f"{path}/main/units.jsonl", f"{path}/*/main/units.jsonl", f"{path}/*/units.jsonl", f"{path}/units.jsonl"])
+
+
+def one_per_package(spark: SparkSession, root: str, names: list[str]) -> list[str]:
+    """Per package the file of the first name it has; a file of one of the names in the root wins."""
+    own = first_found(spark, [f"{root}/{name}" for name in names])
+    if own:
+        return own[:1]
+    best: dict[str, str] = {}
+    for name in names:
+        for path in list_files(spark, f"{root}/*/{name}"):
+            best.setdefault(path.rsplit("/", 1)[0], path)
+    return [best[k] for k in sorted(best)]
+
+
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Whole JSON documents: an array gives a row per element. A missing file is an empty table."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def read_packages(spark: SparkSession, root: str, marker: str, schema: str) -> DataFrame:
     """All packages' rows with ``package_id``, the folder's name."""
-    paths = [os.path.join(p, marker) for p in package_paths(root, marker)]
+    paths = [f"{p}/{marker}" for p in package_paths(spark, root, marker)]
     if not paths:
         return spark.createDataFrame([], schema).withColumn("package_id", F.lit(None).cast("string"))
     return spark.read.schema(schema).json(paths).withColumn("package_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
+def keyed_sentences(rows: DataFrame, order: str) -> DataFrame:
+    """``row_key`` and the last row of each: by sentence id, else source unit, else passage."""
+    key = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("sentence_id", "source_unit_id", "passage_id")])
+    keyed = rows.withColumn("row_key", key).where("row_key is not null")
+    return keyed.groupBy("row_key").agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("row_key", "_r.*")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    return files is not None and len(files) > 0
+    return bool(list_files(spark, path))
 
 
 def union_with_defaults(frames: list[DataFrame], defaults: dict[str, str]) -> DataFrame:

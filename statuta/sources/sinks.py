@@ -31,3 +31,32 @@ def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key, for partial results that were appended to."""
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A table of one row, such as a summary, as one JSON document."""
+    df.limit(2).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+INDEX_PARTS = ("passages", "entities", "links", "references", "postings")
+
+
+def write_index(parts: dict[str, DataFrame], path: str) -> None:
+    """The tables of a retrieval index, a Parquet folder each; postings lie by term."""
+    for name, rows in parts.items():
+        (rows.repartition("term").sortWithinPartitions("term") if name == "postings" else rows).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def open_index(spark, path: str, dense: bool = False) -> dict[str, DataFrame]:
+    """The tables of an index. A missing part is an error, as are vectors that don't match
+    their passages one to one where a dense index is asked for."""
+    from statuta.sources.files import list_files
+
+    names = [*INDEX_PARTS, *(["vectors"] if dense else [])]
+    missing = [n for n in names if not list_files(spark, f"{path}/{n}")]
+    if missing:
+        raise FileNotFoundError(f"the index lacks {', '.join(missing)}")
+    parts = {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    if dense and parts["vectors"].count() != parts["passages"].count():
+        raise ValueError("the index has another number of vectors than of passages")
+    return parts

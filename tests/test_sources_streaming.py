@@ -37,7 +37,7 @@ def test_packages_and_sinks(spark, tmp_path):
         (tmp_path / name).mkdir()
         if name != "empty":
             (tmp_path / name / "units.jsonl").write_text(json.dumps({"id": name}) + "\n")
-    assert [p[-2:] for p in files.package_paths(str(tmp_path), "units.jsonl")] == ["p1", "p2"]
+    assert [p[-2:] for p in files.package_paths(spark, str(tmp_path), "units.jsonl")] == ["p1", "p2"]
     rows = files.read_packages(spark, str(tmp_path), "units.jsonl", "id string")
     assert sorted(tuple(r) for r in rows.collect()) == [("p1", "p1"), ("p2", "p2")]
     sinks.write_csv(rows.selectExpr("id", "cast(null as string) as gone"), str(tmp_path / "out"), ["id", "gone"], ["id"])
@@ -65,3 +65,22 @@ def test_memory_in_batch_and_stream(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "memory")).collect()
     last = {c: max((r for r in rows if r.conversation == c), key=lambda r: r.turns) for c in ("a", "b")}
     assert {c: (r.turns, r.last_question, r.entities, r.documents) for c, r in last.items()} == want
+
+
+def test_discovery_json_and_index(spark, tmp_path):
+    root = tmp_path / "root"
+    for name, text in (("p1/main/units.jsonl", '{"id":"a"}'), ("p1/hybrid.jsonl", "{}"), ("p2/plain.jsonl", "{}"), ("p2/hybrid.jsonl", "{}"), ("list.json", '[{"id":"x"},{"id":null}]')):
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    assert [p.split("root")[-1] for p in files.units_files(spark, str(root))] == ["/p1/main/units.jsonl"]
+    assert [p.split("/")[-2:] for p in files.one_per_package(spark, str(root), ["hybrid.jsonl", "plain.jsonl"])] == [["p1", "hybrid.jsonl"], ["p2", "hybrid.jsonl"]]
+    assert [r.id for r in files.read_json(spark, f"{root}/list.json", "id string").collect()] == ["x", None]
+    assert files.read_json(spark, f"{root}/none.json", "id string").collect() == [] and files.units_files(spark, str(tmp_path / "empty")) == []
+    rows = spark.createDataFrame([("s", None, None, 1, "old"), ("s", None, None, 2, "new"), (None, "", "p", 1, "x"), (None, None, None, 1, "y")], "sentence_id string, source_unit_id string, passage_id string, n int, v string")
+    assert {r.row_key: r.v for r in files.keyed_sentences(rows, "n").collect()} == {"s": "new", "p": "x"}
+    one = spark.createDataFrame([("t", "d")], "term string, doc string")
+    sinks.write_index({name: one for name in sinks.INDEX_PARTS}, f"{tmp_path}/index")
+    assert sinks.open_index(spark, f"{tmp_path}/index")["postings"].count() == 1
+    with pytest.raises(FileNotFoundError):
+        sinks.open_index(spark, f"{tmp_path}/index", dense=True)
