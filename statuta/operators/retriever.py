@@ -6,6 +6,8 @@ results; ties are ordered by passage id. Branches whose weight is 0 are never pl
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,15 @@ def exact_entities(queries: DataFrame, key: str, text: str, aliases: DataFrame)
     return hits.join(folded, "surface").groupBy("q", "entity").agg(F.max("w").alias("activation"))
 
 
+def _stacked(parts: list[DataFrame], key: str) -> DataFrame:
+    """The rows of all parts, placed by ``key`` and question. Spark 4.1 takes a union of parts
+    that lie by question as lying so itself and groups it without a shuffle; if an exchange
+    below is then reused, the union runs as one of unplaced parts, and a question is grouped
+    and ranked once per task. No step before places rows by these columns in this order, so
+    this shuffle is never left out as a repeated one."""
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).repartition(key, "q")
+
+
 def activate(exact: DataFrame, near: DataFrame | None = None, hubs: DataFrame | None = None, most: int = 20, least: float = 0.45) -> DataFrame:
     """``q, entity, activation``: exact matches and, of the ``most`` nearest entities of a
     question, those of at least ``least``, weighed down by the weight of hubs; each entity
@@ -53,7 +64,7 @@ def activate(exact: DataFrame, near: DataFrame | None = None, hubs: DataFrame |
         if hubs is not None:
             best = best.join(hubs.select("entity", "min_graph_weight"), "entity", "left")
         down = F.coalesce(F.nullif(F.col("min_graph_weight"), F.lit(0.0)), F.lit(1.0)) if hubs is not None else F.lit(1.0)
-        rows = rows.unionByName(best.select("q", "entity", (F.col("similarity") * down).alias("activation")))
+        rows = _stacked([rows, best.select("q", "entity", (F.col("similarity") * down).alias("activation"))], "entity")
     merged = rows.groupBy("q", "entity").agg(F.max("activation").alias("activation"))
     order = Window.partitionBy("q").orderBy(F.desc("activation"), "entity")
     return merged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
@@ -95,12 +106,8 @@ def rewrite_edges(edges: DataFrame, aliases: DataFrame, valid: DataFrame, *ends:
 
 
 def _seed(parts: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
-    out = None
-    for name, weight in weights.items():
-        if weight and name in parts:
-            rows = parts[name].select("q", "passage", (F.col("score") * weight).alias("score"))
-            out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("q", "passage").agg(F.sum("score").alias("score"))
+    rows = [parts[name].select("q", "passage", (F.col("score") * weight).alias("score")) for name, weight in weights.items() if weight and name in parts]
+    return _stacked(rows, "passage").groupBy("q", "passage").agg(F.sum("score").alias("score"))
 
 
 def retrieve(
@@ -131,11 +138,8 @@ def retrieve(
         edges = references.join(texted.withColumnRenamed("passage", "target"), "target", "left_semi")
         parts["reference"] = fusion.expand(seeds, edges, "q", "passage", 100).withColumnRenamed("reference", "score")
     names = ("dense", "bm25", "graph", "reference")
-    out = None
-    for name, rows in parts.items():
-        wide = rows.select("q", "passage", *[(F.col("score") if c == name else F.lit(None).cast("double")).alias(c) for c in names])
-        out = wide if out is None else out.unionByName(wide)
-    merged = out.groupBy("q", "passage").agg(*[F.max(c).alias(c) for c in names]).join(texted, "passage", "left_semi")
+    wide = [rows.select("q", "passage", *[(F.col("score") if c == name else F.lit(None).cast("double")).alias(c) for c in names]) for name, rows in parts.items()]
+    merged = _stacked(wide, "passage").groupBy("q", "passage").agg(*[F.max(c).alias(c) for c in names]).join(texted, "passage", "left_semi")
     norm = fusion.minmax(merged.select("q", "passage", *names), "q", list(names))
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in names}
     lone: Column = (zero["dense"] == 0) & (zero["bm25"] == 0)

@@ -118,6 +118,18 @@ def test_retrieval_from_question_to_passages(spark):
         retriever.retrieve(asked, texts, links, refs, aliases, {"dense": 1.0})
 
 
+def test_questions_are_ranked_once_when_branches_share_exchanges(spark):
+    passage = "concat('p', lpad(id, 2, '0'))"
+    texts = spark.range(40).selectExpr(f"{passage} AS passage_id", "concat('phanh xe so ', id, ' muc ', id % 7) AS index_text")
+    links = spark.range(40).selectExpr("concat('e', id % 3) AS entity", f"{passage} AS passage", "double(1 + id % 5) AS weight")
+    refs = spark.range(40).selectExpr(f"{passage} AS source", "concat('p', lpad((id * 7 + 3) % 40, 2, '0')) AS target", "1.0D AS weight")
+    aliases = spark.range(3).selectExpr("concat('muc ', id) AS surface", "concat('e', id) AS entity", "1.0D AS graph_weight")
+    asked = spark.range(12).selectExpr("concat('q', id) AS question_id", "concat('phanh muc ', id % 3, ' va so ', id) AS question")
+    got = retriever.retrieve(asked, texts, links, refs, aliases, {"bm25": 0.25, "graph": 0.15, "reference": 0.6}, k=3).collect()
+    assert sorted((r.q, r["rank"]) for r in got) == sorted((f"q{i}", n) for i in range(12) for n in (1, 2, 3))
+    assert len({(r.q, r.passage) for r in got}) == 36 and all(r.bm25 + r.graph + r.reference > 0 for r in got)
+
+
 def test_id_aliases(spark):
     rows = spark.createDataFrame([("u1.passage", "u1", "x"), ("u2", "u1", "")], "passage_id string, source_unit_id string, passage_text string")
     got = {r.alias: r.passage for r in retriever.id_aliases(rows).collect()}
