@@ -1,8 +1,10 @@
 """From question to ranked passages in one plan: lexical, dense and graph scores, one hop
 over references, weighted fusion.
 
-All questions are answered together. Passages without text are neither seeds, targets nor
-results; ties are ordered by passage id. Branches whose weight is 0 are never planned."""
+All questions are answered together, those of the same words once. Passages without text
+are neither seeds, targets nor results; ties are ordered by passage id. Branches whose
+weight is 0 are never planned; those read twice are written in between, as the plan of all
+in one outgrows the driver."""
 
 from __future__ import annotations
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import text as tx
 from statuta.operators import bm25, dense, dictionary, fusion
+from statuta.session import cut
 
 #: Seed weights of the reference branch.
 SEEDS = {"bm25": 0.7, "graph": 0.3}
@@ -120,26 +123,34 @@ def retrieve(
     weight needs vectors of questions and passages (id, vector)."""
     expands = weights.get("reference", 0) > 0
     needs = lambda c: weights.get(c, 0) > 0 or (expands and seed_weights.get(c, 0) > 0)
-    texted = passages.select(F.col("passage_id").alias("passage"))
+    if needs("dense") and (query_vectors is None or passage_vectors is None):
+        raise ValueError("a dense weight needs vectors of questions and passages")
+    words = F.array_join(F.array_sort(tx.tokens(F.col("index_text"))), " ") if needs("bm25") else F.lit("")
+    # numbers in the order of the ids stand for passages until the end
+    texted = cut(passages.where("passage_id is not null").select("passage_id", "index_text").sort("passage_id").select(F.col("passage_id").alias("id"), words.alias("bag"), F.monotonically_increasing_id().alias("passage")))
+    numbered = lambda df, *ends: reduce(lambda d, end: d.join(texted.select(F.col("id").alias(end), F.col("passage").alias("_p")), end).drop(end).withColumnRenamed("_p", end), ends, df)
+    alike = None
+    if query_vectors is None and near is None:  # questions of the same words are answered once
+        said = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), tx.match_key(F.col(text)).alias("_t")).where("_t <> ''")
+        alike = cut(said.groupBy("_t").agg(F.collect_list("_id").alias("_ids")).withColumn("_q", F.monotonically_increasing_id()))
+        queries, key, text = alike.select("_q", "_t"), "_q", "_t"
     parts: dict[str, DataFrame] = {}
     if needs("dense"):
-        if query_vectors is None or passage_vectors is None:
-            raise ValueError("a dense weight needs vectors of questions and passages")
         found = dense.cosine_topk(query_vectors, passage_vectors, "id", "vector", candidates)
-        parts["dense"] = found.select(F.col("query_id").alias("q"), F.col("item").alias("passage"), F.col("similarity").alias("score"))
+        parts["dense"] = numbered(found.select(F.col("query_id").alias("q"), F.col("item").alias("passage"), F.col("similarity").alias("score")), "passage")
     if needs("bm25"):
-        found = bm25.search(queries, passages, key, text, "passage_id", "index_text", candidates)
+        found = bm25.search_bags(queries, texted.select(F.col("passage").alias("doc"), "bag"), key, text, candidates)
         parts["bm25"] = found.select("q", F.col("doc").alias("passage"), "score")
     if needs("graph"):
         active = activate(exact_entities(queries, key, text, aliases), near, hubs)
-        parts["graph"] = graph_scores(active, links.join(texted, "passage", "left_semi"), candidates)
+        parts["graph"] = graph_scores(active, numbered(links, "passage"), candidates)
     if expands:
-        seeds = _seed(parts, seed_weights).join(texted, "passage", "left_semi")
-        edges = references.join(texted.withColumnRenamed("passage", "target"), "target", "left_semi")
-        parts["reference"] = fusion.expand(seeds, edges, "q", "passage", 100).withColumnRenamed("reference", "score")
+        parts = {name: cut(rows) for name, rows in parts.items()}  # read as seeds and as candidates
+        edges = numbered(references.select("source", "target", "weight"), "source", "target")
+        parts["reference"] = fusion.expand(_seed(parts, seed_weights), edges, "q", "passage", 100).withColumnRenamed("reference", "score")
     names = ("dense", "bm25", "graph", "reference")
     wide = [rows.select("q", "passage", *[(F.col("score") if c == name else F.lit(None).cast("double")).alias(c) for c in names]) for name, rows in parts.items()]
-    merged = _stacked(wide, "passage").groupBy("q", "passage").agg(*[F.max(c).alias(c) for c in names]).join(texted, "passage", "left_semi")
+    merged = _stacked(wide, "passage").groupBy("q", "passage").agg(*[F.max(c).alias(c) for c in names])
     norm = fusion.minmax(merged.select("q", "passage", *names), "q", list(names))
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in names}
     lone: Column = (zero["dense"] == 0) & (zero["bm25"] == 0)
@@ -147,4 +158,7 @@ def retrieve(
     total = sum((zero[c] * weights.get(c, 0.0) for c in names), F.lit(0.0))
     scored = norm.select("q", "passage", total.alias("score"), *[zero[c].alias(c) for c in names]).where("score > 0")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "passage")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if alike is not None:
+        ranked = ranked.join(alike.select(F.col("_q").alias("q"), "_ids"), "q").withColumn("q", F.explode("_ids")).drop("_ids")
+    return ranked.join(texted.select("passage", "id"), "passage").select("q", F.col("id").alias("passage"), "score", *names, "rank")

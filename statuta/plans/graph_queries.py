@@ -68,8 +68,8 @@ def canonical_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("entity_label", "canonical").agg(F.array_join(F.sort_array(F.collect_set("surface")), "|").alias("aliases"), F.sum("n").alias("n"), F.bool_or(F.col("status") == "accept").alias("accepted"))
 
 
-def _links(spark, sf_dir):
-    found = mn.extract(_units(spark, sf_dir, "content"), "unit_id", "content").where("label <> 'này'")
+def _links(spark, sf_dir, units=None):
+    found = mn.extract(_units(spark, sf_dir, "content") if units is None else units, "unit_id", "content").where("label <> 'này'")
     return found.select(F.col("unit_id").alias("passage"), F.concat_ws(":", "mention_type", "label").alias("entity"), F.lit(1.0).alias("weight"))
 
 

@@ -30,17 +30,21 @@ TOPICS = {
 }
 
 
-def _links(spark, sf_dir):
+def _links(spark, sf_dir, units=None):
     """Citations, and topics at the weight of a gazetteer mention."""
-    cited = gq._links(spark, sf_dir).select(F.concat("passage", F.lit(".passage")).alias("passage"), "entity", "weight")
-    topic = F.create_map(*[F.lit(x) for pair in TOPICS.items() for x in pair])
-    texts = gq._units(spark, sf_dir, "content").select("unit_id", tx.match_key(F.col("content")).alias("t"), F.explode(F.array(*map(F.lit, TOPICS))).alias("word"))
-    told = texts.where(tx.boundary_contains(F.col("t"), tx.match_key(F.col("word")))).select(F.concat("unit_id", F.lit(".passage")).alias("passage"), F.concat(F.lit("topic:"), "word").alias("entity"), gz.weight(topic[F.col("word")], F.col("word"), F.lit("gazetteer"), F.lit(1.0)).alias("weight"))
-    return cited.unionByName(told)
+    units = gq._units(spark, sf_dir, "content") if units is None else units
+    cited = gq._links(spark, sf_dir, units).select(F.concat("passage", F.lit(".passage")).alias("passage"), "entity", "weight")
+    words = spark.createDataFrame(list(TOPICS.items()), "word string, label string")
+    known = words.select(F.concat(F.lit(" "), tx.match_key(F.col("word")), F.lit(" ")), F.concat(F.lit("topic:"), "word"), gz.weight(F.col("label"), F.col("word"), F.lit("gazetteer"), F.lit(1.0))).collect()
+    topics = F.array(*[F.struct(*[F.lit(x).alias(name) for x, name in zip(row, ("key", "entity", "weight"))]) for row in known])
+    # the text is bound to a name, so that it is folded once and not for every topic
+    told = F.transform(F.array(F.concat(F.lit(" "), tx.match_key(F.col("content")), F.lit(" "))), lambda t: F.filter(topics, lambda x: F.contains(t, x["key"])))
+    rows = units.where("content is not null").select("unit_id", F.explode(F.flatten(told)).alias("x"))
+    return cited.unionByName(rows.select(F.concat("unit_id", F.lit(".passage")).alias("passage"), "x.entity", "x.weight"))
 
 
-def _edges(spark, sf_dir):
-    return gr.entity_links(_links(spark, sf_dir)).select("passage", "entity", "weight")
+def _edges(spark, sf_dir, units=None):
+    return gr.entity_links(_links(spark, sf_dir, units)).select("passage", "entity", "weight")
 
 
 def _aliases(edges):
@@ -97,8 +101,11 @@ def _references(spark, sf_dir):
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions to their five best passages, by the configuration without embeddings."""
-    passages = rq._passages(spark, sf_dir).select(F.concat("unit_id", F.lit(".passage")).alias("passage_id"), F.col("content").alias("index_text"))
-    edges = cut(_edges(spark, sf_dir))  # read by the aliases and the links
+    last = lambda c: F.max(F.struct("ingested_at", c))[c].alias(c)
+    # of rows of one time the one last deleted holds, for links the largest text; units that aren't deleted have one text
+    units = cut(table(spark, sf_dir, "units").where("unit_id is not null").groupBy("unit_id").agg(last("content"), last("deleted_at")))
+    passages = present(units).where(F.length(F.trim("content")) > 0).select(F.concat("unit_id", F.lit(".passage")).alias("passage_id"), F.col("content").alias("index_text"))
+    edges = cut(_edges(spark, sf_dir, units))  # read by the aliases and the links
     out = rt.retrieve(_questions(spark, sf_dir), passages, edges, _references(spark, sf_dir), _aliases(edges), rq.LEXICAL, k=5)
     return out.select(F.col("q").alias("question_id"), F.col("passage").alias("passage_id"), F.round("score", 4).alias("score"), "rank")
 

@@ -1,5 +1,9 @@
+import math
 import random
+import types
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,6 +46,29 @@ def test_bm25_small_case(spark):
     assert bm25.search(asked, docs.limit(0), "id", "text", "id", "text", 5).collect() == []
 
 
+@pytest.mark.parametrize("block, slab, chunk, frequent", [(3, 7, 4, 0.01), (2048, 10**6, 2048, 2.0), (5, 40, 64, 0.0)])
+def test_bm25_in_blocks_is_the_full_ranking(monkeypatch, block, slab, chunk, frequent):
+    for name, value in (("BLOCK", block), ("SLAB", slab), ("CHUNK", chunk), ("FREQUENT", frequent)):
+        monkeypatch.setattr(bm25, name, value)
+    rng, words, k = random.Random(5), [f"w{i:02d}" for i in range(12)], 6
+    docs = {f"d{i:03d}": sorted(rng.choices(words, weights=range(1, 13), k=rng.randint(1, 5))) for i in range(90)}
+    asked = {f"q{i}": sorted(rng.sample([*words, "unknown"], 4)) for i in range(11)}
+    df = {w: sum(w in d for d in docs.values()) for w in words}
+    weight = {w: math.log1p((len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    mean = sum(map(len, docs.values())) / len(docs)
+    score = lambda q, d: sum(sorted(weight[w] * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for w in q if w in d))
+    want = {q: [(doc, round(-s, 9)) for s, doc in sorted((-score(ws, d), doc) for doc, d in docs.items()) if s][:k] for q, ws in asked.items()}
+
+    known = pd.DataFrame({"term": words, "df": [df[w] for w in words], "idf": [weight[w] for w in words]})
+    shared = types.SimpleNamespace(value=bm25._Queries(pa.table({"q": list(asked), "terms": list(asked.values())}), known, len(docs)))
+    batches = pa.table({"doc": list(docs), "bag": [" ".join(d) for d in docs.values()]}).to_batches(max_chunksize=8)
+    got = {q: [] for q in asked}
+    for batch in bm25._scorer(shared, mean, k, 1.5, 0.75)(iter(batches)):
+        for row in batch.to_pylist():
+            got[row["q"]] += [(h["s"], h["doc"]) for h in row["hits"]]
+    assert {q: [(doc, round(-s, 9)) for s, doc in sorted(hits)[:k]] for q, hits in got.items()} == want
+
+
 def test_fusion_rules(spark):
     rows = [("q", "a", 1.0, 5.0, 1.0), ("q", "b", None, None, 9.0), ("q", "c", 0.5, 1.0, None), ("one", "z", 3.0, None, None), ("none", "y", None, None, None)]
     df = spark.createDataFrame(rows, "q string, i string, dense double, bm25 double, graph double")
